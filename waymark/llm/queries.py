@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_entropy, ngram_rules, quality_lm
+from . import bpe_replay, cross_entropy, ngram_rules, quality_lm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,15 @@ def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.cross_entropy_difference(docs, target)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_replay.digests(bpe_replay.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_rules, op3_quality_classifier, op8_cross_entropy)}
+    return {f.__name__: f for f in (op2_ngram_rules, op3_quality_classifier, op8_cross_entropy, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
