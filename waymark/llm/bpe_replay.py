@@ -118,7 +118,7 @@ def replay(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.
         at = at[rank[at] == r]  # the others changed since they were entered
         if not len(at):
             continue
-        if len(parts) > 1:
+        if len(at) > 1:  # the same position may have been entered twice
             at = np.sort(at)
             at = at[np.concatenate(([True], at[1:] != at[:-1]))]
         right = after[at]
