@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, cross_entropy, minhash_dedup, mixing, ngram_rules, quality_lm
+from . import bpe_replay, cross_entropy, minhash_dedup, mixing, ngram_rules, quality_lm, toxicity_gbt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gbt.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = quality_lm.trusted_ids(table(spark, sf_dir, "labels"))
@@ -46,7 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_rules, op3_quality_classifier, op4_mixing, op8_cross_entropy, op9_minhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_ngram_rules, op3_quality_classifier, op4_mixing, op7_toxicity, op8_cross_entropy, op9_minhash_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
