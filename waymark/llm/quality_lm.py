@@ -22,6 +22,9 @@ from .session import cut, prepare
 from .textops import batch, word_count
 
 MARGIN = 1.0
+#: The model is fitted to at most this many trusted documents, those of least hash of id.
+#: Their ids (0.8 MB) are broadcast, so no text is shuffled; the quantiles take all of them.
+MAX_TRUSTED = 100_000
 _SCORED = "doc_id long, lang string, n_words long, n_chars long, log_prob double"
 
 
@@ -43,11 +46,13 @@ def score(docs: DataFrame, scorer: kn.Scorer, id_col: str, text_col: str, lang_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(measure, _SCORED)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """One row for each document: perplexity, threshold and whether it is kept."""
     spark = prepare(docs.sparkSession)
     trusted = trusted_ids(labels)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(trusted, "doc_id", "left_semi")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = cut(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
+    text = named.join(F.broadcast(chosen), "doc_id", "left_semi")
     model = kn.fit(kn.count_ngrams(text, "text"))
     scored = score(docs, kn.Scorer(spark, [model]), id_col, text_col, lang_col)
     scored = scored.withColumn("log_ppl", F.when(F.col("n_chars") > 0, -F.col("log_prob") / F.col("n_chars")))
