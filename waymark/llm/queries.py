@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, cross_entropy, minhash_dedup, mixing, ngram_rules, quality_lm, toxicity_gbt
+from . import bpe_replay, chat_repair, cross_entropy, itq_dedup, license_scan, minhash_dedup, mixing, ngram_rules, quality_lm, toxicity_gbt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op2_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_gbt.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,8 +63,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_rules, op3_quality_classifier, op4_mixing, op7_toxicity, op8_cross_entropy, op9_minhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_repair, op2_ngram_rules, op3_quality_classifier, op4_mixing, op5_itq_dedup, op6_license_scan, op7_toxicity, op8_cross_entropy, op9_minhash_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op9_minhash_dedup": minhash_dedup.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op5_itq_dedup": itq_dedup.ORACLE_SQL, "op9_minhash_dedup": minhash_dedup.ORACLE_SQL}
