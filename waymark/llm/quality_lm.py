@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .session import cut, prepare
+from .session import append_columns, cut, prepare
 from .textops import batch, word_count
 
 MARGIN = 1.0
 #: The model is fitted to at most this many trusted documents, those of least hash of id.
 #: Their ids (0.8 MB) are broadcast, so no text is shuffled; the quantiles take all of them.
 MAX_TRUSTED = 100_000
-_SCORED = "doc_id long, lang string, n_words long, n_chars long, log_prob double"
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -34,32 +33,60 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.agg(F.min("quality").alias("worst")).where("worst = 1").select("doc_id")
 
 
-def score(docs: DataFrame, scorer: kn.Scorer, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("n_chars", pa.int64()), ("log_prob", pa.float64())])
+def _measure(scorer: kn.Scorer, texts: list[str]) -> tuple[list[int], list[float | None]]:
+    """Words and log-perplexity (null without characters) of each text."""
+    words = [word_count(t.encode("utf-8", "surrogatepass")) for t in texts]
+    return words, [-log / len(t) if t else None for t, log in zip(texts, scorer.logs(texts)[:, 0].tolist())]
 
-    def measure(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            words = [word_count(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield batch({"doc_id": b.column(0), "lang": b.column(2), "n_words": words, "n_chars": list(map(len, texts)), "log_prob": scorer.logs(texts)[:, 0]}, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(measure, _SCORED)
+class Classifier:
+    """A model of trusted text with the thresholds that its own documents give."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED) -> None:
+        spark = prepare(docs.sparkSession)
+        self.columns = (id_col, text_col, lang_col)
+        trusted = trusted_ids(labels)
+        named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        chosen = cut(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
+        text = named.join(F.broadcast(chosen), "doc_id", "left_semi")
+        scorer = self.scorer = kn.Scorer(spark, [kn.fit(kn.count_ngrams(text, "text"))])
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("log_ppl", pa.float64())])
+
+        def run(batches):
+            for b in batches:
+                words, logs = _measure(scorer, [t or "" for t in b.column(1).to_pylist()])
+                yield batch({"doc_id": b.column(0), "lang": b.column(2), "n_words": words, "log_ppl": logs}, schema)
+
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        scored = rows.mapInArrow(run, "doc_id long, lang string, n_words long, log_ppl double").withColumn("length_class", kn.length_class(F.col("n_words")))
+        scored = scored.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
+        self.scored = cut(scored.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
+        found = kn.quantiles(self.scored.where("trusted"), "lang", "log_ppl", {"q50": 0.5, "q99": 0.99})
+        self.found = cut(found.withColumn("_upper", F.col("q99") + MARGIN * (F.col("q99") - F.col("q50"))))
+
+    def verdicts(self) -> DataFrame:
+        """(doc_id, lang, n_words, trusted, perplexity, threshold, kept), a row for each document."""
+        out = kn.with_quantiles(self.scored, "lang", self.found, ["_upper"])
+        return out.select("doc_id", "lang", "n_words", "trusted", F.exp("log_ppl").alias("perplexity"), F.exp("_upper").alias("threshold"), self._good("log_ppl").alias("kept"))
+
+    def keep(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs that pass, decided row by row where they lie."""
+        _, text_col, lang_col = self.columns
+        scorer = self.scorer
+
+        def made(b):
+            words, logs = _measure(scorer, [t or "" for t in b.column(text_col).to_pylist()])
+            return [pa.array(words, pa.int64()), pa.array(logs, pa.float64())]
+
+        rows = append_columns(docs, [("_n_words", "long"), ("_log_ppl", "double")], made)
+        rows = kn.with_quantiles(rows.withColumn("length_class_", kn.length_class(F.col("_n_words"))), lang_col, self.found, ["_upper"], "length_class_")
+        return rows.where(self._good("_log_ppl")).select(*docs.columns)
+
+    @staticmethod
+    def _good(value: str):
+        return F.coalesce(F.col(value) <= F.coalesce(F.col("_upper"), F.lit(float("inf"))), F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """One row for each document: perplexity, threshold and whether it is kept."""
-    spark = prepare(docs.sparkSession)
-    trusted = trusted_ids(labels)
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = cut(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
-    text = named.join(F.broadcast(chosen), "doc_id", "left_semi")
-    model = kn.fit(kn.count_ngrams(text, "text"))
-    scored = score(docs, kn.Scorer(spark, [model]), id_col, text_col, lang_col)
-    scored = scored.withColumn("log_ppl", F.when(F.col("n_chars") > 0, -F.col("log_prob") / F.col("n_chars")))
-    scored = scored.withColumn("length_class", kn.length_class(F.col("n_words")))
-    scored = cut(scored.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
-    found = kn.quantiles(scored.where("trusted"), "lang", "log_ppl", {"q50": 0.5, "q99": 0.99})
-    found = found.withColumn("upper", F.col("q99") + MARGIN * (F.col("q99") - F.col("q50")))
-    out = kn.with_quantiles(scored, "lang", found, ["upper"])
-    kept = F.coalesce(F.col("log_ppl") <= F.coalesce(F.col("upper"), F.lit(float("inf"))), F.lit(False))
-    return out.select("doc_id", "lang", "n_words", "trusted", F.exp("log_ppl").alias("perplexity"), F.exp("upper").alias("threshold"), kept.alias("kept"))
+    return Classifier(docs, labels, id_col, text_col, lang_col, max_trusted).verdicts()

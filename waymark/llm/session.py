@@ -5,10 +5,14 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BATCH_ROWS = 4096
 BATCH_BYTES = 16 << 20
@@ -46,6 +50,40 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-"))
+    return context.getCheckpointDir().get()
+
+
+def write_out(df: DataFrame) -> DataFrame:
+    """Write a large result to the shared folder as Parquet and read it again."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def append_columns(df: DataFrame, columns: list[tuple[str, str]], of: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """df with further columns (name, type) that a function makes of each Arrow batch.
+
+    The other columns pass through, so a decision on a row needs no join by its id.
+    """
+    taken = {c.lower() for c in df.columns}
+    if clash := [name for name, _ in columns if name.lower() in taken]:
+        raise ValueError(f"columns exist already: {clash}")
+    schema = StructType(list(df.schema.fields))
+    for name, kind in columns:
+        schema = schema.add(name, kind)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *of(b)], [*b.schema.names, *(name for name, _ in columns)])
+
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 
@@ -53,9 +91,5 @@ def cut(df: DataFrame) -> DataFrame:
     sets none (tests, a laptop) is a temporary one used.  Partitions keep their
     rows, order and number, so a checkpoint also fixes a range partitioning.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

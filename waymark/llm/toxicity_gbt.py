@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, prepare
+from .session import append_columns, cut, prepare
 from .textops import _LOWER, _SPACE, chunks, mix, powers, texts_of
 
 FOLDS = 5
@@ -339,14 +339,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each document."""
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = with_score(rows, train(docs, labels, id_col, text_col, label_col)).drop("text")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with a column _toxicity."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+
+    def made(b):
+        texts = texts_of(b.column(text_col))
+        return [pa.array(np.concatenate([np.empty(0), *(shared.value.score(texts[i:j]) for i, j in chunks(texts))]))]
+
+    return append_columns(docs, [("_toxicity", "double")], made)
 
-    def run(batches):
-        for b in batches:
-            texts = texts_of(b.column(1))
-            for i, j in chunks(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(shared.value.score(texts[i:j]))], ["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def keep_harmless(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of docs with a score under 0.5, decided where they lie."""
+    scored = with_score(docs, train(docs, labels, id_col, text_col, label_col), text_col)
+    return scored.where("_toxicity < 0.5").select(*docs.columns)
