@@ -1,0 +1,16 @@
+"""Reliable checkpoints in the folder that the session names."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df read back from the shared checkpoint folder, ``spark.checkpoint.dir``; where a
+    session sets none (tests, a laptop), from a temporary one."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+    return df.checkpoint(eager=True)
