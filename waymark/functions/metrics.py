@@ -23,8 +23,12 @@ def decile(x: Column) -> Column:
 
 
 def round3(x: Column) -> Column:
-    """Three decimals, half to even."""
-    return F.bround(x, 3)
+    """Three decimals, half to even.
+
+    Rounding to nine first removes what the order of a floating sum leaves, so that a tie
+    is a tie on any partitioning.
+    """
+    return F.bround(F.round(x, 9), 3)
 
 
 def whole_grade(grade: Column) -> Column:

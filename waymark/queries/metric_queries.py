@@ -9,7 +9,7 @@ from ..operators import reports as R
 from .fixtures import DETAILED, ROLLOUT, detailed, rollout_rows, table
 from .registry import query
 
-_BY_K = f"""{DETAILED}, by_k AS (SELECT model, method, k, count(*)::BIGINT AS n_rows, round_even(sum(has_valid_pair)::DOUBLE / sum(has_ground_truth), 3) AS coverage, round_even(avg(grade_proximity), 3) AS grade_proximity, round_even(avg(codebleu), 3) AS codebleu FROM detailed GROUP BY ALL)"""
+_BY_K = f"""{DETAILED}, by_k AS (SELECT model, method, k, count(*)::BIGINT AS n_rows, round_even(round(sum(has_valid_pair)::DOUBLE / sum(has_ground_truth), 9), 3) AS coverage, round_even(round(avg(grade_proximity), 9), 3) AS grade_proximity, round_even(round(avg(codebleu), 9), 3) AS codebleu FROM detailed GROUP BY ALL)"""
 _ALL = ("coverage", "grade_proximity", "codebleu")
 
 
@@ -23,7 +23,7 @@ def kstep_metrics(spark, sf_dir):
     return rows.select("student_id", "problem_id", "starting_position", "k", "has_ground_truth", "has_model_code", "has_valid_pair", F.round("grade_difference", 6).alias("grade_difference"), F.round("grade_proximity", 6).alias("grade_proximity"), "codebleu")
 
 
-@query(f"WITH {DETAILED} SELECT k::INTEGER AS k, count(*)::BIGINT AS n_rows, round_even(sum(has_valid_pair)::DOUBLE / sum(has_ground_truth), 3) AS coverage, round_even(avg(grade_proximity), 3) AS grade_proximity FROM detailed GROUP BY k")
+@query(f"WITH {DETAILED} SELECT k::INTEGER AS k, count(*)::BIGINT AS n_rows, round_even(round(sum(has_valid_pair)::DOUBLE / sum(has_ground_truth), 9), 3) AS coverage, round_even(round(avg(grade_proximity), 9), 3) AS grade_proximity FROM detailed GROUP BY k")
 def coverage_by_k(spark, sf_dir):
     return R.coverage_by(detailed(spark, sf_dir), ["k"])
 
@@ -33,12 +33,12 @@ def coverage_by_method_k(spark, sf_dir):
     return _by_k(spark, sf_dir)
 
 
-@query(f"WITH {_BY_K} SELECT model, method, round_even(avg(coverage), 3) AS coverage, round_even(avg(grade_proximity), 3) AS grade_proximity, round_even(avg(codebleu), 3) AS codebleu FROM by_k GROUP BY ALL")
+@query(f"WITH {_BY_K} SELECT model, method, round_even(round(avg(coverage), 9), 3) AS coverage, round_even(round(avg(grade_proximity), 9), 3) AS grade_proximity, round_even(round(avg(codebleu), 9), 3) AS codebleu FROM by_k GROUP BY ALL")
 def macro_table(spark, sf_dir):
     return R.macro(_by_k(spark, sf_dir), ["model", "method"], _ALL)
 
 
-@query(f"WITH {DETAILED} SELECT model, method, count(*)::BIGINT AS n_rows, round_even(avg(grade_proximity), 3) AS grade_proximity, round_even(avg(codebleu), 3) AS codebleu FROM detailed GROUP BY ALL")
+@query(f"WITH {DETAILED} SELECT model, method, count(*)::BIGINT AS n_rows, round_even(round(avg(grade_proximity), 9), 3) AS grade_proximity, round_even(round(avg(codebleu), 9), 3) AS codebleu FROM detailed GROUP BY ALL")
 def micro_table(spark, sf_dir):
     return R.micro(detailed(spark, sf_dir), ["model", "method"], ["grade_proximity", "codebleu"])
 
@@ -52,13 +52,13 @@ def degradation(spark, sf_dir):
     return out.select("model", "method", *(F.round(f"delta_{m}", 6).alias(f"delta_{m}") for m in _ALL))
 
 
-@query(f"WITH {_BY_K}, {_DELTA}, m AS (SELECT model, method, {', '.join(f'round_even(avg({m}), 3) AS {m}' for m in _ALL)} FROM by_k GROUP BY ALL) SELECT model, method, {', '.join(_ALL)}, {', '.join(f'round(delta_{m}, 6) AS delta_{m}' for m in _ALL)} FROM m LEFT JOIN d USING (model, method)")
+@query(f"WITH {_BY_K}, {_DELTA}, m AS (SELECT model, method, {', '.join(f'round_even(round(avg({m}), 9), 3) AS {m}' for m in _ALL)} FROM by_k GROUP BY ALL) SELECT model, method, {', '.join(_ALL)}, {', '.join(f'round(delta_{m}, 6) AS delta_{m}' for m in _ALL)} FROM m LEFT JOIN d USING (model, method)")
 def averaged_table(spark, sf_dir):
     out = R.averaged_with_degradation(_by_k(spark, sf_dir), ["model", "method"], _ALL)
     return out.select("model", "method", *_ALL, *(F.round(f"delta_{m}", 6).alias(f"delta_{m}") for m in _ALL))
 
 
-@query(f"WITH {DETAILED} SELECT model, method, " + ", ".join(f"round_even(avg({m}){f}, 3) AS {m}_{n}" for m in ("grade_proximity", "codebleu") for n, f in (("all", ""), ("solved", " FILTER (trajectory_solved)"), ("unsolved", " FILTER (NOT trajectory_solved)"))) + " FROM detailed GROUP BY ALL")
+@query(f"WITH {DETAILED} SELECT model, method, " + ", ".join(f"round_even(round(avg({m}){f}, 9), 3) AS {m}_{n}" for m in ("grade_proximity", "codebleu") for n, f in (("all", ""), ("solved", " FILTER (trajectory_solved)"), ("unsolved", " FILTER (NOT trajectory_solved)"))) + " FROM detailed GROUP BY ALL")
 def stratified(spark, sf_dir):
     return R.stratified(detailed(spark, sf_dir), ["model", "method"], ["grade_proximity", "codebleu"])
 

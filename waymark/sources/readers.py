@@ -17,9 +17,7 @@ from ..operators.relational import union_all, without_empty_columns
 
 MESSAGES = "array<struct<role:string,content:string>>"
 #: Declared schema of a raw submission log.
-SUBMISSIONS = StructType.fromDDL(
-    "problem_id string, problem_description string, code string, user string, grade double, timestamp timestamp, testcase string, type string, redacted boolean, exam boolean"
-)
+SUBMISSIONS = "problem_id string, problem_description string, code string, user string, grade double, timestamp timestamp, testcase string, type string, redacted boolean, exam boolean"
 
 
 def scan_split(spark: SparkSession, path: str, split: str = "all") -> DataFrame:

@@ -17,13 +17,16 @@ def read_log(spark: SparkSession, path: str, schema: StructType, files_per_trigg
 
 
 def activity(stream: DataFrame, ts: str, keys: Sequence[str], late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Submissions and mean value by key and window; rows later than the watermark are dropped."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.avg("value").alias("avg_value"))
+    """Submissions and mean value by key and window; rows later than the watermark are dropped.
+
+    Event times without a zone are taken in the session's.
+    """
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.avg("value").alias("avg_value"))
 
 
 def distinct_submissions(stream: DataFrame, ts: str, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
     """The first arrival of each key; state is bounded by the watermark."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def start(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
