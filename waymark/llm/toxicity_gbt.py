@@ -31,7 +31,8 @@ FOLDS = 5
 MAX_LABELLED = 20_000
 #: Terms that may enter a lexicon, and terms in it.
 MAX_TERMS, MAX_LEXICON = 50_000, 1_000
-LEAST_ODDS, LEAST_Z = 2.0, 3.0
+#: Least log-odds, and least likelihood ratio statistic, of a term in a lexicon.
+LEAST_ODDS, LEAST_SURPRISE = 2.0, 10.8
 PREFIXES = (4, 5, 6, 7, 8)
 #: Second-person pronouns of English, German, French and Spanish.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer sie tu te toi ton ta tes vous votre vos tú tu ti tus usted ustedes vosotros".split()
@@ -261,9 +262,10 @@ def _lexicon(found: list, half: int | None, docs: dict[int, list[int]]) -> tuple
     a = sum(np.array([r[f"toxic{s}"] for r in found], dtype=float) for s in sides)
     b = sum(np.array([r[f"other{s}"] for r in found], dtype=float) for s in sides)
     odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    good = np.flatnonzero((odds >= LEAST_ODDS) & (z >= LEAST_Z))
-    good = good[np.lexsort((term[good], -z[good]))][:MAX_LEXICON]
+    expected = (a + b) * toxic / (toxic + other), (a + b) * other / (toxic + other)
+    surprise = 2 * sum(n * np.log(np.maximum(n, 0.5) / np.maximum(e, 1e-9)) for n, e in zip((a, b), expected))
+    good = np.flatnonzero((odds >= LEAST_ODDS) & (surprise >= LEAST_SURPRISE))
+    good = good[np.lexsort((term[good], -surprise[good]))][:MAX_LEXICON]
     good = good[np.argsort(term[good])]
     return term[good], odds[good]
 
