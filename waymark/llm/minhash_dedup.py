@@ -9,10 +9,12 @@ A pair of similarity s meets in some table with probability (1 - (1 - s**3)**10)
 * Documents with the same set of shingles form one class at once; only classes go on.
 * A group value that a single class has can't take part in a table key that two
   classes share, so keys are formed of shared values alone.
-* In each bucket the least class is compared with the others; links are confirmed on
-  full sets.  Where a bucket then still holds several components, every pair of
-  classes of different components is compared as well, so no candidate link is lost
-  and pairs inside a component are not listed.
+* A class's hub is, of all classes that it shares a bucket with, the one whose group
+  values are shared most often: among near copies that is a text close to their origin.
+  Classes of one hub are compared with each other exactly, in tiles of bounded size that
+  return edges spanning their links, never pairs: thousands of near copies make no pairs.
+* Pairs that share a bucket but no hub are compared one by one, unless a chain of links
+  joins them already.  Links are confirmed on full sets throughout; nothing is capped.
 
 Defined results: a text without words (or null) has an empty set and links with
 nothing; fewer than SHINGLE words make one shingle; rows with equal ids are one document
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .session import cut, prepare
+from .session import cut, prepare, write_out
 from .textops import chunks, mix, shingle_hashes, texts_of, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 ROWS, GROUPS = 3, 10
+#: Size of a tile's side, and columns of its incidence matrices at a time.
+TILE_ROWS, TILE_SHINGLES, VOCABULARY = 512, 400_000, 2048
 #: ``near_duplicates`` with shingle=4 as DuckDB SQL.
 ORACLE_SQL = r"""
 WITH RECURSIVE words AS (
@@ -116,13 +120,100 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, n): the table keys of each class whose both halves another class has too."""
+    """(key, id, n, score): the table keys of each class whose both halves another class has
+    too; score counts how often its group values occur."""
     halves = classes.select("id", "n", F.posexplode("groups").alias("g", "value"))
-    shared = halves.groupBy("g", "value").agg(F.count("*").alias("c")).where("c > 1").select("g", "value")
-    mine = halves.join(shared, ["g", "value"], "left_semi").groupBy("id", "n").agg(F.collect_list(F.struct("g", "value")).alias("own"))
-    sides = mine.select("id", "n", F.filter("own", lambda x: x["g"] < GROUPS).alias("one"), F.filter("own", lambda x: x["g"] >= GROUPS).alias("two"))
-    rows = sides.select("id", "n", F.explode("one").alias("x"), "two").select("id", "n", "x", F.explode("two").alias("y"))
-    return rows.select(F.xxhash64("x.g", "x.value", "y.g", "y.value").alias("key"), "id", "n")
+    shared = halves.groupBy("g", "value").agg(F.count("*").alias("c")).where("c > 1")
+    mine = halves.join(shared, ["g", "value"]).groupBy("id", "n").agg(F.collect_list(F.struct("g", "value")).alias("own"), F.sum("c").alias("score"))
+    sides = mine.select("id", "n", "score", F.filter("own", lambda x: x["g"] < GROUPS).alias("one"), F.filter("own", lambda x: x["g"] >= GROUPS).alias("two"))
+    rows = sides.select("id", "n", "score", F.explode("one").alias("x"), "two").select("id", "n", "score", "x", F.explode("two").alias("y"))
+    return rows.select(F.xxhash64("x.g", "x.value", "y.g", "y.value").alias("key"), "id", "n", "score")
+
+
+def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the linked classes of a tile: all against all, or side 0 against 1."""
+    a = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
+    b = a if same else np.flatnonzero(side == 1)
+    if len(a) < 1 + same or not len(b):
+        return ids[:0], ids[:0]
+    sizes = np.array([len(s) for s in sets])
+    flat = lambda of: (np.concatenate([sets[i] for i in of]), np.repeat(np.arange(len(of)), sizes[of]))
+    x, own = flat(a)
+    y, other = (x, own) if same else flat(b)
+    if same:
+        found, times = np.unique(x, return_counts=True)
+        common = found[times > 1]
+    else:
+        common = np.intersect1d(x, y)
+    both = np.zeros((len(a), len(b)), dtype=np.float32)
+
+    def part(tokens, owner, rows, vocabulary):
+        at = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
+        hit = vocabulary[at] == tokens
+        out = np.zeros((rows, len(vocabulary)), dtype=np.float32)
+        out[owner[hit], at[hit]] = 1
+        return out
+
+    for i in range(0, len(common), VOCABULARY):
+        left = part(x, own, len(a), common[i : i + VOCABULARY])
+        both += left @ (left if same else part(y, other, len(b), common[i : i + VOCABULARY])).T
+    linked = 100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)
+    if same:
+        np.fill_diagonal(linked, False)
+    p, q = np.nonzero(linked)
+    p, q = a[p], b[q]
+    label = np.arange(len(ids))
+    while len(p):
+        before = label.copy()
+        np.minimum.at(label, p, label[q])
+        np.minimum.at(label, q, label[p])
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[moved]], ids[moved]
+
+
+def _tiles(percent: int):
+    def run(batches):
+        held: list[pa.Table] = []
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            keys = b.column(0).to_numpy()
+            if (change := np.flatnonzero(keys[1:] != keys[:-1])).size or (len(held) > 1 and held[-2]["tile"][-1].as_py() != keys[0]):
+                last = int(change[-1]) + 1 if change.size else 0
+                yield from work(pa.concat_tables([*held[:-1], held[-1].slice(0, last)]))
+                held = [held[-1].slice(last)]
+        if held:
+            yield from work(pa.concat_tables(held))
+
+    def work(rows: pa.Table):
+        rows = rows.combine_chunks()
+        if not rows.num_rows:
+            return
+        tile, ids, side, same = (rows[c].to_numpy() for c in ("tile", "id", "side", "same"))
+        lists = rows["shingles"].combine_chunks()
+        values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
+        found = [_links(ids[i:j], [values[bounds[k] : bounds[k + 1]] for k in range(i, j)], side[i:j], bool(same[i]), percent) for i, j in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def within_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that span the links among the members (hub, id, n) of each hub.
+
+    A hub's members are dealt to sides of about TILE_ROWS rows and TILE_SHINGLES shingles;
+    each pair of sides is a tile, so a hub of any size spreads over many tasks.
+    """
+    sums = members.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1")
+    sides = F.greatest(F.ceil(F.col("c") / TILE_ROWS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
+    dealt = members.join(sums.select("hub", sides.alias("sides")), "hub").withColumn("own", F.pmod(F.xxhash64("id", "hub"), "sides").cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    tiles = tiles.select("id", F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).cast("int").alias("same"))
+    rows = tiles.join(sets, "id").select("tile", "id", "side", "same", "shingles")
+    return rows.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(_tiles(percent), "a long, b long")
 
 
 def near_enough(m: str, n: str, percent: int):
@@ -144,29 +235,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(signatures(docs, id_col, text_col, shingle))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min("groups").alias("groups"))
-    members = usable.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.drop("groups"), ["n_shingles", "set_a", "set_b"]).select("doc_id", "id").distinct()
+    named = usable.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.drop("groups"), ["n_shingles", "set_a", "set_b"]).select("doc_id", "id").distinct()
     # rows with one id but different texts tie their classes together
     reps = cut(classes.select("id", F.col("n_shingles").alias("n"), "set_a", "set_b", "groups"))
     table = cut(buckets(reps))
-    heads = table.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("head")).where("c > 1")
-    star = table.join(heads, "key").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("m"), "n").where("a < b")
-    star = cut(star.where(near_enough("m", "n", percent)).distinct())
-    ids = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    first = cut(confirmed(star, full_sets(docs, ids, id_col, text_col, shingle), percent))
+    hub = F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("hub")
+    heads = table.groupBy("key").agg(F.count("*").alias("c"), hub).where("c > 1").drop("c")
+    table = table.join(heads, "key").select("key", "id", "n", "hub")
+    chosen = table.groupBy("id", "n").agg(F.max("hub").alias("hub"))
+    chosen = cut(chosen.select("id", "n", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n")))
+    sets = write_out(full_sets(docs, chosen.select("id"), id_col, text_col, shingle))
+    members = chosen.select("hub", "id", "n").unionByName(chosen.select("hub", F.col("hub").alias("id"), F.col("hub_n").alias("n"))).distinct()
+    first = cut(within_hubs(members, sets, percent))
     found = components(first)
 
-    placed = table.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = cut(placed.join(torn, "key", "left_semi"))
-    other = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("component").alias("other"))
-    across = rest.select("key", F.col("id").alias("a"), F.col("n").alias("n1"), "component").join(other, "key")
-    across = across.where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & near_enough("n1", "n2", percent))
-    across = across.select("a", "b", F.col("n1").alias("m"), F.col("n2").alias("n")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    across = cut(across)
-    ids = across.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    second = confirmed(across, full_sets(docs, ids, id_col, text_col, shingle), percent)
+    placed = table.select("key", "id", "n").join(chosen.select("id", F.col("hub").alias("own")), "id")
+    placed = placed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("own").alias("one"), F.max("own").alias("two"))
+    rest = cut(placed.join(torn.where("low < high and one < two").select("key"), "key", "left_semi"))
+    other = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("own").alias("own2"))
+    across = rest.select("key", F.col("id").alias("a"), F.col("n").alias("n1"), "component", "own").join(other, "key")
+    across = across.where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & near_enough("n1", "n2", percent))
+    across = across.where((F.col("own") != F.col("own2")) & (F.col("own") != F.col("b")) & (F.col("own2") != F.col("a")))
+    across = cut(across.select("a", "b", F.col("n1").alias("m"), F.col("n2").alias("n")).distinct())
+    second = confirmed(across, sets, percent)
     links = first.unionByName(second)
-    twice = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
+    twice = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
     found = components(links.unionByName(twice))
 
     whole = reps.select("id", "n", "set_a", "set_b").join(found.withColumnRenamed("node", "id"), "id", "left")
@@ -174,3 +268,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.join(whole, (F.col("n_shingles") == F.col("_n")) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
