@@ -3,7 +3,7 @@
 Each stage works on all that the one before has kept.  A stage before the last returns
 rows with the columns of documents; ``run`` applies them to the documents of a folder.
 The first two stages decide row by row.  For the others rows that share a doc_id are one
-document, kept or repeated together; a null doc_id can't be named and goes with them.
+document, kept or repeated together; those without an id link with nothing and stay.
 """
 
 from __future__ import annotations
@@ -12,13 +12,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from waymark.llm import bpe_replay, minhash_dedup, mixing, quality_lm, toxicity_gbt
 from waymark.llm.session import write_out
 
-ID = "doc_id"
-
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -35,12 +32,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near copies (five-word shingles, 0.8).
-
-    Both sides of the last join grow with the corpus: it shuffles at every size.
-    """
-    decided = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(decided.hint("merge"), docs[ID].cast("long") == F.col("_kept_id"), "left_semi")
+    """Keeps the least id of each group of near copies (five-word shingles, 0.8)."""
+    return minhash_dedup.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, positions
 from .graph import components
-from .session import cut, prepare, write_out
+from .session import append_columns, cut, prepare
 from .textops import chunks, mix, shingle_hashes, texts_of, word_hashes
 
 SHINGLE, PERCENT = 5, 80
@@ -104,19 +105,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, shingles array<long>) of the documents named in ids."""
+    """(id, shingles array<long>) of the documents named in ids.
+
+    Texts that a Bloom filter of the ids rules out are left where they lie; the others'
+    sets, not their texts, meet the ids in an exact join.
+    """
+    bloom = Bloom(ids, "id")
 
     def emit(batches):
         for b in batches:
-            texts = texts_of(b.column(1))
+            hit = pa.array(bloom.hits(b.column(2)))
+            names, texts = b.column(0).filter(hit), texts_of(b.column(1).filter(hit))
             for i, j in chunks(texts):
                 hashes, bounds = shingle_hashes(*word_hashes(texts[i:j], lower=True), shingle)
                 sets = [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([names.slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(emit, "id long, shingles array<long>")
+    key = F.col(id_col).cast("long")
+    rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), positions(key).alias("bits"))
+    return rows.mapInArrow(emit, "id long, shingles array<long>").join(ids.hint("merge"), "id", "left_semi")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -244,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = table.join(heads, "key").select("key", "id", "n", "hub")
     chosen = table.groupBy("id", "n").agg(F.max("hub").alias("hub"))
     chosen = cut(chosen.select("id", "n", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n")))
-    sets = write_out(full_sets(docs, chosen.select("id"), id_col, text_col, shingle))
+    sets = cut(full_sets(docs, chosen.select("id"), id_col, text_col, shingle))
     members = chosen.select("hub", "id", "n").unionByName(chosen.select("hub", F.col("hub").alias("id"), F.col("hub_n").alias("n"))).distinct()
     first = cut(within_hubs(members, sets, percent))
     found = components(first)
@@ -269,3 +277,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose id isn't a near copy of a lesser one; rows without an id stay.
+
+    Few rows are dropped.  Those that a Bloom filter of the dropped ids rules out are kept
+    where they lie; only the others meet the dropped ids in an exact join.
+    """
+    dropped = cut(near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct())
+    bloom = Bloom(dropped, "_dropped")
+    key = F.col(id_col).cast("long")
+    at = len(docs.columns)
+    rows = append_columns(docs.withColumn("_bits", positions(key)), [("_maybe", "boolean")], lambda b: [pa.array(bloom.hits(b.column(at)))])
+    sure = rows.where("not _maybe").select(*docs.columns)
+    checked = rows.where("_maybe").join(dropped.hint("merge"), key == F.col("_dropped"), "left_anti").select(*docs.columns)
+    return sure.unionByName(checked)
