@@ -1,16 +1,25 @@
-"""Reliable checkpoints in the folder that the session names."""
+"""Reliable checkpoints in the folder that the session names.
+
+The folder is ``spark.checkpoint.dir``, which all executors share; only where a session
+sets none (tests, a laptop) is a temporary one made.
+"""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """df read back from the shared checkpoint folder, ``spark.checkpoint.dir``; where a
-    session sets none (tests, a laptop), from a temporary one."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def folder(spark: SparkSession) -> str:
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+    return context.getCheckpointDir().get()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df read back from a checkpoint.  Its partitions keep their rows, order and number,
+    so this also fixes a range partitioning."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

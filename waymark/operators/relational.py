@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import reliable
+
 #: A lookup table is broadcast up to this many rows; beyond it the planner decides.
 BROADCAST_ROWS = 100_000
 
@@ -115,9 +117,8 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     Sorted ranges are counted (one row a range), and a running sum over these few counts
     gives each its start: no single task sees all rows.
     """
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    # materialised, since sampled ranges may differ between two evaluations
-    spread = spread.persist()
+    # checkpointed: the ranges are sampled, and another evaluation might place a row elsewhere
+    spread = reliable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     starts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = starts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import reliable
 from ..functions import text as X
 from ..operators import sequence as W
 from ..workers import ship
-from .checkpoints import reliable
 
 Predict = Callable[[list[list[dict]]], list[str]]
 
