@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..checkpoints import folder, reliable
 from ..workers import ship
 
 BATCH_ROWS = 4096
@@ -28,17 +28,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-"))
-    return context.getCheckpointDir().get()
-
-
 def write_out(df: DataFrame) -> DataFrame:
     """Write a large result to the shared folder as Parquet and read it again."""
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -69,5 +61,4 @@ def cut(df: DataFrame) -> DataFrame:
     sets none (tests, a laptop) is a temporary one used.  Partitions keep their
     rows, order and number, so a checkpoint also fixes a range partitioning.
     """
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return reliable(df)
