@@ -217,10 +217,17 @@ def test_quality_rules(spark, docs, labels):
     for d in docs.collect():
         r = out[d["doc_id"]]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == _base(d["text"])
-        within = r["perplexity"] is not None and r["lower_perplexity"] - 1e-9 <= r["perplexity"] <= r["upper_perplexity"] + 1e-9
+        within = r["perplexity"] is not None and r["lower_perplexity"] is not None and r["lower_perplexity"] - 1e-9 <= r["perplexity"] <= r["upper_perplexity"] + 1e-9
         assert r["kept"] == (not r["base_failed"] and within)
 
 
+def test_quality_rules_verdicts(spark):
+    """Without labels the rules keep good texts of 50 words or more and drop junk."""
+    sf = "/root/testdata/sf0.01"
+    out = own.op2_ngram_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
+    assert out[out["quality"] == 1]["kept"].mean() > 0.99 and (~out[out["quality"] == 0]["kept"]).mean() > 0.9
+
+
 def test_quality_rules_awkward(awkward):
     out = ngram_rules.quality_rules(awkward).collect()
     assert len(out) == len(AWKWARD)

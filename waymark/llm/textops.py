@@ -7,7 +7,7 @@ characters (space, tab, line feed, vertical tab, form feed, carriage return);
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,5 +116,27 @@ def word_count(text: bytes) -> int:
     return len(text.split())
 
 
+class _Slot:
+    key: object = None
+    value: object = None
+
+
+def cached(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once in a worker until another key is asked for.
+
+    One thing is kept at a time, whatever operators a worker serves one after another.
+    """
+    if _Slot.key != key:
+        release()
+        _Slot.value, _Slot.key = make(), key
+    return _Slot.value
+
+
+def release() -> None:
+    """Let go of what an operator before has cached in this worker."""
+    _Slot.key = _Slot.value = None
+    pa.default_memory_pool().release_unused()
+
+
 def batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
