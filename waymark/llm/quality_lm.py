@@ -3,7 +3,7 @@
 The model comes from joins of n-gram counts, sharded by key, with their contexts and
 the next lower order (``kneser_ney.fit``).  A document's n-gram counts meet the shards
 of the finished count table one after another; its log-probabilities add up over them.
-A document is rejected above q99 + (q99 - q50) of the trusted documents of its language
+A document is rejected above q99 + 1.5 (q99 - q50) of the trusted documents of its language
 and length.
 
 Defined results: a null or empty text has a null perplexity and is rejected; a language
@@ -21,7 +21,7 @@ from . import kneser_ney as kn
 from .session import append_columns, cut, prepare
 from .textops import batch, word_count
 
-MARGIN = 1.0
+MARGIN = 1.5
 #: The model is fitted to at most this many trusted documents, those of least hash of id.
 #: Their ids (0.8 MB) are broadcast, so no text is shuffled; the quantiles take all of them.
 MAX_TRUSTED = 100_000
