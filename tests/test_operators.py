@@ -97,6 +97,15 @@ def test_text_nulls(spark):
     assert [r[0] for r in got] == [None, 0.0, 0.0, 5.0] and all(r[1] is None for r in got) and [r[3] for r in got] == [True, True, False, False]
 
 
+def test_prompts(spark):
+    with pytest.raises(ValueError):
+        X.system_prompt("other")
+    row = spark.range(1).select(X.system_prompt("code"), X.leave_messages(F.lit(40.0)).alias("m")).first()
+    assert row[0] and [m["role"] for m in row["m"]] == ["assistant", "user"]
+    said = spark.createDataFrame([(row["m"][0]["content"], row["m"][1]["content"])], "a string, u string")
+    assert tuple(said.select(X.gives_up(X.python_code(F.col("a"))), X.score(F.col("u"))).first()) == (True, 40.0)
+
+
 def test_penalty_and_reward(spark):
     df = spark.createDataFrame([(0,), (855,), (950,), (951,)], "n int")
     assert [r[0] for r in df.select(M.length_penalty(F.col("n"), 1000)).collect()] == [0.0, 0.0, -1.0, -1.0]

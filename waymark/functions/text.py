@@ -194,3 +194,24 @@ def test_script(testcase: Column, drop: list[str], call: str) -> Column:
     for text in drop:
         testcase = F.replace(testcase, F.lit(text), F.lit(""))
     return F.concat(strip(testcase), F.lit("\n" + call))
+
+
+#: Own wording; formats are those of ``experiment_format``.
+SYSTEM_PROMPTS = {
+    "code": "You are a learner of programming. Answer with your next program in a python fence.",
+    "dual": "You are a learner of programming. Answer with your next program in a python fence, or with a unified diff of your last one in a diff fence.",
+}
+
+
+def system_prompt(kind: str) -> Column:
+    """The opening message of a format; an unknown format raises."""
+    if kind not in SYSTEM_PROMPTS:
+        raise ValueError(f"unknown format {kind!r}; known: {sorted(SYSTEM_PROMPTS)}")
+    return F.lit(SYSTEM_PROMPTS[kind])
+
+
+def leave_messages(grade: Column) -> Column:
+    """The two messages by which a learner gives up: the call, and the final grade."""
+    made = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    shown = F.concat(F.lit("Unit Test Returned: "), grade.cast("string"))
+    return F.array(made("assistant", F.lit("```python\nexit()\n```")), made("user", shown))
