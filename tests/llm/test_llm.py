@@ -40,7 +40,7 @@ def labels(spark, sf):
 def awkward(spark):
     """Nulls, empty and long texts, repeated rows, and columns named like results."""
     df = spark.createDataFrame(AWKWARD, DOCS).repartition(3)
-    for name in ("kept", "size", "score", "id", "hub", "key", "part", "component", "length_class", "fold", "upper", "copies"):
+    for name in ("_lang", "_upper", "_bits", "_copy", "kept", "size", "score", "id", "hub", "key", "part", "component", "length_class", "fold", "upper", "copies"):
         df = df.withColumn(name, F.lit("other"))
     return df
 

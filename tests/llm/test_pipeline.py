@@ -37,7 +37,7 @@ def test_run(spark, sf):
 
 def test_awkward(spark, sf):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (4, "same words here again and more", "en", None, 1), (5, "same words here again and more", None, "b", 1), (5, "same words here again and more", None, "b", 1), (None, "an id is missing", "xx", "b", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit(1)).withColumn("score", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit(1)).withColumn("score", F.lit("x")).withColumn("_lang", F.lit("x")).withColumn("_bits", F.lit("x"))
     for df in (docs, docs.limit(0)):
         for _, stage in cp.STAGES[:-1]:
             out = stage(spark, df, sf)

@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import prepare
+from .textops import cached
 
 NONE = np.int32(1 << 30)
 #: Pieces whose ids a worker remembers between batches: bounds its memory, not its results.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -185,10 +186,7 @@ class Encoder:
         return _gather(self.ids, starts[used], lengths), sums[bounds]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def parts(texts: list[str], limit: int = 2 << 20):
+def parts(texts: list[str], limit: int = 1 << 20):
     """Ranges of texts of about ``limit`` characters; bounds what a worker holds at once."""
     first = total = 0
     for i, text in enumerate(texts):
@@ -210,10 +208,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     name = f"{ranks_path}\0{pattern}"
 
     def run(batches):
-        if name not in _encoders:
-            _encoders.clear()
-            _encoders[name] = Encoder(Vocabulary(*shared.value))
-        encoder = _encoders[name]
+        encoder = cached(name, lambda: Encoder(Vocabulary(*shared.value)))
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, j in parts(texts):

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, prepare
+from ..checkpoints import reliable
+from .session import prepare
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("start", "system", "user", "assistant")
@@ -156,12 +157,12 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     conversation's ending included in the last turn's).
     """
     spark = prepare(turns.sparkSession)
-    base = cut(turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")))
+    base = reliable(turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")))
     kind, turn_kind = base.schema["conv"].dataType, base.schema["turn"].dataType
     keyed = base.withColumn("tie", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("tie"), F.col("text").isNull(), F.col("row")]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut(placed.select(F.spark_partition_id().alias("part"), F.col("conv").cast("string").alias("conv"), "role", "text", F.col("turn").cast("string").alias("turn")))
+    placed = reliable(placed.select(F.spark_partition_id().alias("part"), F.col("conv").cast("string").alias("conv"), "role", "text", F.col("turn").cast("string").alias("turn")))
     schema = "part int, place int, conv string, made array<long>"
 
     thin = placed.select("part", "conv", "role")

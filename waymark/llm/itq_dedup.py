@@ -180,8 +180,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
     sound = F.col("vector").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     sound &= ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = cut(rows.withColumn("sound", F.coalesce(sound, F.lit(False))))
-    classes = cut(rows.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")).withColumn("dim", F.size("vector")))
+    rows = cut(rows.withColumn("sound", F.coalesce(sound, F.lit(False))), 5_000)
+    classes = cut(rows.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")).withColumn("dim", F.size("vector")), 5_000)
 
     chosen = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector", "dim").toArrow()
     dims = chosen["dim"].to_numpy()
@@ -203,7 +203,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
                 out[at] = codes(x / np.linalg.norm(x, axis=1)[:, None], mean, projection)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(1), b.column(4), pa.array(out.view(np.int64)), lists], ["id", "label", "dim", "size", "code", "vector"])
 
-    coded = cut(classes.select("id", "dim", "vector", "label", "size").mapInArrow(encode, "id long, label string, dim int, size long, code long, vector array<double>"))
+    coded = cut(classes.select("id", "dim", "vector", "label", "size").mapInArrow(encode, "id long, label string, dim int, size long, code long, vector array<double>"), 5_000)
     chunk = lambda c: F.shiftrightunsigned("code", WIDTH * c).bitwiseAND((1 << WIDTH) - 1)
     keys = F.array(*(F.shiftleft(chunk(i), WIDTH) + chunk(j) for i, j in TABLES))
     placed = coded.select("id", "label", "dim", F.posexplode(keys).alias("table", "value"))

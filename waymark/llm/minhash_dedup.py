@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bloom import Bloom, positions
 from .graph import components
 from .session import append_columns, cut, prepare
-from .textops import chunks, mix, shingle_hashes, texts_of, word_hashes
+from .textops import chunks, mix, release, shingle_hashes, texts_of, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 ROWS, GROUPS = 3, 10
@@ -83,6 +83,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     of it that doesn't depend on order, and its group values (null for an empty set)."""
 
     def sign(batches):
+        release()
         for b in batches:
             texts = texts_of(b.column(1))
             for i, j in chunks(texts):
@@ -113,6 +114,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
     bloom = Bloom(ids, "id")
 
     def emit(batches):
+        release()
         for b in batches:
             hit = pa.array(bloom.hits(b.column(2)))
             names, texts = b.column(0).filter(hit), texts_of(b.column(1).filter(hit))
@@ -184,6 +186,7 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool
 
 def _tiles(percent: int):
     def run(batches):
+        release()
         held: list[pa.Table] = []
         for b in batches:
             held.append(pa.Table.from_batches([b]))
@@ -240,19 +243,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each input row."""
     prepare(docs.sparkSession)
-    signed = cut(signatures(docs, id_col, text_col, shingle))
+    signed = cut(signatures(docs, id_col, text_col, shingle), 20_000)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min("groups").alias("groups"))
-    named = usable.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.drop("groups"), ["n_shingles", "set_a", "set_b"]).select("doc_id", "id").distinct()
-    # rows with one id but different texts tie their classes together
-    reps = cut(classes.select("id", F.col("n_shingles").alias("n"), "set_a", "set_b", "groups"))
+    reps = cut(classes.select("id", F.col("n_shingles").alias("n"), "set_a", "set_b", "groups"), 20_000)
     table = cut(buckets(reps))
     hub = F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("hub")
     heads = table.groupBy("key").agg(F.count("*").alias("c"), hub).where("c > 1").drop("c")
     table = table.join(heads, "key").select("key", "id", "n", "hub")
     chosen = table.groupBy("id", "n").agg(F.max("hub").alias("hub"))
     chosen = cut(chosen.select("id", "n", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n")))
-    sets = cut(full_sets(docs, chosen.select("id"), id_col, text_col, shingle))
+    sets = cut(full_sets(docs, chosen.select("id"), id_col, text_col, shingle), 10_000)
     members = chosen.select("hub", "id", "n").unionByName(chosen.select("hub", F.col("hub").alias("id"), F.col("hub_n").alias("n"))).distinct()
     first = cut(within_hubs(members, sets, percent))
     found = components(first)
@@ -265,10 +266,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = rest.select("key", F.col("id").alias("a"), F.col("n").alias("n1"), "component", "own").join(other, "key")
     across = across.where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & near_enough("n1", "n2", percent))
     across = across.where((F.col("own") != F.col("own2")) & (F.col("own") != F.col("b")) & (F.col("own2") != F.col("a")))
-    across = cut(across.select("a", "b", F.col("n1").alias("m"), F.col("n2").alias("n")).distinct())
+    across = across.select("a", "b", F.col("n1").alias("m"), F.col("n2").alias("n")).distinct()
     second = confirmed(across, sets, percent)
     links = first.unionByName(second)
-    twice = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
+    # rows with one id but different texts tie their classes together
+    own = ["n_shingles", "set_a", "set_b"]
+    texts = usable.select("doc_id", *own).distinct()
+    several = texts.join(texts.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1"), "doc_id", "left_semi")
+    several = several.join(reps.select(F.col("n").alias("n_shingles"), "set_a", "set_b", "id"), own).select("doc_id", "id")
+    twice = several.join(several.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
     found = components(links.unionByName(twice))
 
     whole = reps.select("id", "n", "set_a", "set_b").join(found.withColumnRenamed("node", "id"), "id", "left")
@@ -284,11 +290,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Few rows are dropped.  Those that a Bloom filter of the dropped ids rules out are kept
     where they lie; only the others meet the dropped ids in an exact join.
     """
-    dropped = cut(near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct())
-    bloom = Bloom(dropped, "_dropped")
+    dropped = cut(near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_waymark_dropped")).distinct())
+    bloom = Bloom(dropped, "_waymark_dropped")
     key = F.col(id_col).cast("long")
     at = len(docs.columns)
-    rows = append_columns(docs.withColumn("_bits", positions(key)), [("_maybe", "boolean")], lambda b: [pa.array(bloom.hits(b.column(at)))])
-    sure = rows.where("not _maybe").select(*docs.columns)
-    checked = rows.where("_maybe").join(dropped.hint("merge"), key == F.col("_dropped"), "left_anti").select(*docs.columns)
+    rows = append_columns(docs.withColumn("_waymark_bits", positions(key)), [("_waymark_maybe", "boolean")], lambda b: [pa.array(bloom.hits(b.column(at)))])
+    sure = rows.where("not _waymark_maybe").select(*docs.columns)
+    checked = rows.where("_waymark_maybe").join(dropped.hint("merge"), key == F.col("_waymark_dropped"), "left_anti").select(*docs.columns)
     return sure.unionByName(checked)

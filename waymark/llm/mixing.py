@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import reliable
 from .session import cut, prepare
 from .textops import WORD
 
@@ -83,14 +84,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     salted = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = cut(sized.withColumn("hash", salted).withColumn("row", F.monotonically_increasing_id()))
+    sized = cut(sized.withColumn("hash", salted).withColumn("row", F.monotonically_increasing_id()), 20_000)
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit(""))).cast("binary")), 1, 6), 16, 10).cast("long")
     step = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
     goals = goals.withColumn("start", start).withColumn("step", step)
 
     order = [F.col("source").asc_nulls_last(), "size", "hash", "doc_id", "row"]
-    parts = cut(sized.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    parts = reliable(sized.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     counts = parts.groupBy("part", "source").agg(F.count("*").alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("earlier", F.coalesce(earlier, F.lit(0)))
@@ -106,6 +107,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, each as often as ``mixed`` has copies of its id."""
-    chosen = mixed.groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    out = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_mixed_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    chosen = mixed.groupBy(F.col("doc_id").alias("_waymark_id")).agg(F.max("copies").cast("int").alias("_waymark_copies")).where("_waymark_copies > 0")
+    out = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_waymark_id")))
+    return out.withColumn("_waymark_copy", F.explode(F.sequence(F.lit(1), F.col("_waymark_copies")))).select(*(docs[c] for c in docs.columns))

@@ -62,12 +62,12 @@ class Classifier:
         scored = scored.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
         self.scored = cut(scored.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
         found = kn.quantiles(self.scored.where("trusted"), "lang", "log_ppl", {"q50": 0.5, "q99": 0.99})
-        self.found = cut(found.withColumn("_upper", F.col("q99") + MARGIN * (F.col("q99") - F.col("q50"))))
+        self.found = cut(found.withColumn("_waymark_upper", F.col("q99") + MARGIN * (F.col("q99") - F.col("q50"))))
 
     def verdicts(self) -> DataFrame:
         """(doc_id, lang, n_words, trusted, perplexity, threshold, kept), a row for each document."""
-        out = kn.with_quantiles(self.scored, "lang", self.found, ["_upper"])
-        return out.select("doc_id", "lang", "n_words", "trusted", F.exp("log_ppl").alias("perplexity"), F.exp("_upper").alias("threshold"), self._good("log_ppl").alias("kept"))
+        out = kn.with_quantiles(self.scored, "lang", self.found, ["_waymark_upper"])
+        return out.select("doc_id", "lang", "n_words", "trusted", F.exp("log_ppl").alias("perplexity"), F.exp("_waymark_upper").alias("threshold"), self._good("log_ppl").alias("kept"))
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that pass, decided row by row where they lie."""
@@ -78,13 +78,13 @@ class Classifier:
             words, logs = _measure(scorer, [t or "" for t in b.column(text_col).to_pylist()])
             return [pa.array(words, pa.int64()), pa.array(logs, pa.float64())]
 
-        rows = append_columns(docs, [("_n_words", "long"), ("_log_ppl", "double")], made)
-        rows = kn.with_quantiles(rows.withColumn("length_class_", kn.length_class(F.col("_n_words"))), lang_col, self.found, ["_upper"], "length_class_")
-        return rows.where(self._good("_log_ppl")).select(*docs.columns)
+        rows = append_columns(docs, [("_waymark_words", "long"), ("_waymark_log", "double")], made)
+        rows = kn.with_quantiles(rows.withColumn("_waymark_length", kn.length_class(F.col("_waymark_words"))), lang_col, self.found, ["_waymark_upper"], "_waymark_length")
+        return rows.where(self._good("_waymark_log")).select(*docs.columns)
 
     @staticmethod
     def _good(value: str):
-        return F.coalesce(F.col(value) <= F.coalesce(F.col("_upper"), F.lit(float("inf"))), F.lit(False))
+        return F.coalesce(F.col(value) <= F.coalesce(F.col("_waymark_upper"), F.lit(float("inf"))), F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED) -> DataFrame:

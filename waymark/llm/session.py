@@ -54,11 +54,15 @@ def append_columns(df: DataFrame, columns: list[tuple[str, str]], of: Callable[[
     return df.mapInArrow(run, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+def cut(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder, in as few files as its
+    rows need.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where a session
-    sets none (tests, a laptop) is a temporary one used.  Partitions keep their
-    rows, order and number, so a checkpoint also fixes a range partitioning.
+    The rows are held in the cache until they have been counted and written; a lost
+    executor's share of them is computed again.  ``reliable`` keeps partitions as they are.
     """
-    return reliable(df)
+    held = df.persist()
+    files = -(-held.count() // rows_per_file)
+    done = reliable(held.coalesce(max(1, files)))
+    held.unpersist()
+    return done

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import append_columns, cut, prepare
-from .textops import _LOWER, _SPACE, chunks, mix, powers, texts_of
+from .textops import _LOWER, _SPACE, chunks, mix, powers, release, texts_of
 
 FOLDS = 5
 MAX_LABELLED = 20_000
@@ -275,6 +275,7 @@ def _terms(rows: DataFrame, only: np.ndarray | None, spark) -> DataFrame:
     kept = None if only is None else spark.sparkContext.broadcast(only)
 
     def count(batches):
+        release()
         found = {}
         for b in batches:
             texts, group = texts_of(b.column(0)), b.column(1).to_numpy()
@@ -304,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled))
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     rows = named.join(F.broadcast(chosen), "_id").withColumn("fold", fold(F.col("_id")).cast("int")).withColumn("half", (F.col("fold") > 2).cast("int"))
-    rows = cut(rows)
+    rows = cut(rows, 1_000)  # texts
     sizes = {0: [0, 0], 1: [0, 0]}
     for r in rows.groupBy("half", "toxic").count().collect():
         sizes[r["half"]][r["toxic"]] = r["count"]
@@ -319,6 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(halves)
 
     def measure(batches):
+        release()
         for b in batches:
             texts, half = texts_of(b.column(1)), b.column(2).to_numpy()
             for i, j in chunks(texts):
@@ -343,21 +345,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted), a row for each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = with_score(rows, train(docs, labels, id_col, text_col, label_col)).drop("text")
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_waymark_toxicity").alias("score"), (F.col("_waymark_toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a column _toxicity."""
+    """docs with a column _waymark_toxicity."""
     shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def made(b):
+        release()
         texts = texts_of(b.column(text_col))
         return [pa.array(np.concatenate([np.empty(0), *(shared.value.score(texts[i:j]) for i, j in chunks(texts))]))]
 
-    return append_columns(docs, [("_toxicity", "double")], made)
+    return append_columns(docs, [("_waymark_toxicity", "double")], made)
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs with a score under 0.5, decided where they lie."""
     scored = with_score(docs, train(docs, labels, id_col, text_col, label_col), text_col)
-    return scored.where("_toxicity < 0.5").select(*docs.columns)
+    return scored.where("_waymark_toxicity < 0.5").select(*docs.columns)
