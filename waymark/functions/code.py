@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..workers import ship
 
+#: Least ratio of a fuzzy line match, and its penalty for each line of distance.
 FUZZY, NEAR = 0.90, 0.01
 
 
