@@ -1,42 +1,44 @@
 """LM scoring: cross-entropy difference between a target and a background model.
 
-Both are modified Kneser-Ney models of the same order, smoothing and vocabulary of
-symbols (``kneser_ney``), one of the target texts, one of all texts.  A document's
-score is its per-token loss under the target model less that under the background
+Both are modified Kneser-Ney models of word trigrams with the same order, smoothing and
+spelling of unseen words (``word_ngrams``), one of the target texts, one of all texts.
+A document's score is its loss under the target model less that under the background
 model: the lower, the more it resembles the target.  The counts of both models cover
-every token of their texts.
+every word of their texts; counts, contexts, lower orders and the documents' trigrams
+meet in joins sharded by key.
+
+Losses are in nats a character, so that they don't depend on how long the words are:
+``n_tokens`` counts characters.  White space between words is coded alike by both models,
+with 63 equally likely symbols, and drops out of the score.
 
 Defined results: a null or empty text has no tokens, null losses and a null score;
-without target texts the target model is uniform; every input row gives one row.
+without target texts the target model is uniform over spellings; every input row gives
+one row, repeated and null ids included.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kneser_ney as kn
+from . import word_ngrams as wn
 from .session import prepare
-from .textops import batch
-
-_SCORED = "doc_id long, n_tokens long, target_log double, background_log double"
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score), losses in nats a token."""
-    spark = prepare(docs.sparkSession)
-    models = [kn.fit(kn.count_ngrams(texts, text_col)) for texts in (target, docs if background is None else background)]
-    scorer = kn.Scorer(spark, models)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_log", pa.float64()), ("background_log", pa.float64())])
-
-    def measure(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            logs = scorer.logs(texts)
-            yield batch({"doc_id": b.column(0), "n_tokens": list(map(len, texts)), "target_log": logs[:, 0], "background_log": logs[:, 1]}, schema)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(measure, _SCORED)
+    """(doc_id, n_tokens, target_loss, background_loss, score), losses in nats a character."""
+    prepare(docs.sparkSession)
+    logs = wn.log_probs([target, docs if background is None else background], text_col, None if background is None else docs)
+    rows = wn.trigrams_of(docs, id_col, text_col).join(logs.hint("merge"), "key", "left")
+    sums = rows.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_chars").alias("n_tokens"),
+        F.max("n_blank").alias("n_blank"),
+        *(F.coalesce(F.sum(F.col("n") * F.col(f"log{m}")), F.lit(0.0)).alias(f"log{m}") for m in (0, 1)),
+    )
     tokens = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
-    out = rows.withColumn("target_loss", -F.col("target_log") / tokens).withColumn("background_loss", -F.col("background_log") / tokens)
+    blank = F.col("n_blank") * math.log(wn.SYMBOLS)
+    out = sums.withColumn("target_loss", (blank - F.col("log0")) / tokens).withColumn("background_loss", (blank - F.col("log1")) / tokens)
     return out.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
