@@ -6,8 +6,10 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.llm import cross_entropy
+from waymark.llm import kneser_ney as kn
 
 
 # --- op8: words and their order -----------------------------------------------
@@ -72,3 +74,18 @@ def test_cross_entropy_of_words(spark):
         assert [found[i]["target_loss"], found[i]["background_loss"]] == pytest.approx(want)
     # capitals and the order of words were lost when letters were folded
     assert found[1]["score"] < found[5]["score"] and found[0]["score"] < found[4]["score"]
+
+
+# --- op2, op3, pipeline: quantiles ----------------------------------------------
+
+
+@pytest.mark.parametrize("unbroadcast", [False, True])
+def test_a_small_language_keeps_its_quantiles(spark, monkeypatch, unbroadcast):
+    """40 documents of a language among 60,000 are enough, as they are among 100."""
+    if unbroadcast:
+        monkeypatch.setattr(kn, "small", lambda df: df)
+    rows = spark.range(60_000).select(F.when(F.col("id") < 40, "small").when(F.col("id") < 60, "tiny").otherwise("big").alias("lang"), F.lit(2).alias("length_class"))
+    rows = rows.withColumn("value", F.when(F.col("lang") == "small", 3.0).otherwise(1.0))
+    found = kn.quantiles(rows, "lang", "value", {"mid": 0.5})
+    have = kn.with_quantiles(rows, "lang", found, ["mid"]).groupBy("lang").agg(F.min("mid").alias("a"), F.max("mid").alias("b"), F.count("*").alias("n")).collect()
+    assert {r["lang"]: (round(r["a"], 2), round(r["b"], 2), r["n"]) for r in have} == {"small": (3.0, 3.0, 40), "tiny": (1.0, 1.0, 20), "big": (1.0, 1.0, 59_940)}
