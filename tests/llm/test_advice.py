@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import cross_entropy
+from waymark.llm import cross_entropy, mixing, quality_lm
 from waymark.llm import kneser_ney as kn
 
 
@@ -89,3 +89,11 @@ def test_a_small_language_keeps_its_quantiles(spark, monkeypatch, unbroadcast):
     found = kn.quantiles(rows, "lang", "value", {"mid": 0.5})
     have = kn.with_quantiles(rows, "lang", found, ["mid"]).groupBy("lang").agg(F.min("mid").alias("a"), F.max("mid").alias("b"), F.count("*").alias("n")).collect()
     assert {r["lang"]: (round(r["a"], 2), round(r["b"], 2), r["n"]) for r in have} == {"small": (3.0, 3.0, 40), "tiny": (1.0, 1.0, 20), "big": (1.0, 1.0, 59_940)}
+
+
+def test_junk_of_a_length_without_trusted_texts_is_rejected(spark):
+    good = " ".join(["the little house stands by the river and the old tree"] * 25)
+    docs = spark.createDataFrame([*((i, f"{good} {'of stone ' * (i % 5)}", "en") for i in range(40)), (50, "qzx wvkj xqq zzgh", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in quality_lm.classify(docs, labels).collect()}
+    assert not kept.pop(50) and sum(kept.values()) >= 32

@@ -7,8 +7,8 @@ A document is rejected above q99 + 1.5 (q99 - q50) of the trusted documents of i
 and length.
 
 Defined results: a null or empty text has a null perplexity and is rejected; a language
-without enough trusted documents uses the quantiles of all; without any trusted text
-nothing but empty texts is rejected; every input row gives one row.
+without enough trusted documents uses the quantiles of all, a length without any trusted
+document those of all lengths; without any trusted text nothing but empty texts is rejected; every input row gives one row.
 """
 
 from __future__ import annotations
