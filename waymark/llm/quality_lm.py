@@ -1,9 +1,9 @@
 """Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
 
 The model comes from joins of n-gram counts, sharded by key, with their contexts and
-the next lower order (``kneser_ney.fit``).  A document's n-gram counts meet the shards
-of the finished count table one after another; its log-probabilities add up over them.
-A document is rejected above q99 + 1.5 (q99 - q50) of the trusted documents of its language
+the next lower order (``kneser_ney.fit``).  Only these joins are sharded: the finished
+table, at most 2**24 entries, is broadcast, and each text is looked up in it where it
+lies (``kneser_ney.Scorer``).  A document is rejected above q99 + 1.5 (q99 - q50) of the trusted documents of its language
 and length.
 
 Defined results: a null or empty text has a null perplexity and is rejected; a language
