@@ -2,8 +2,8 @@
 
 Each stage works on all that the one before has kept.  A stage before the last returns
 rows with the columns of documents; ``run`` applies them to the documents of a folder.
-The first two stages decide row by row.  For the others rows that share a doc_id are one
-document, kept or repeated together; those without an id link with nothing and stay.
+The first two stages and the mixing decide row by row.  For near copies rows that share a
+doc_id are one document, kept together; those without an id link with nothing and stay.
 """
 
 from __future__ import annotations

@@ -97,3 +97,18 @@ def test_junk_of_a_length_without_trusted_texts_is_rejected(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"]: r["kept"] for r in quality_lm.classify(docs, labels).collect()}
     assert not kept.pop(50) and sum(kept.values()) >= 32
+
+
+# --- pipeline: copies of rows without an id of their own ---------------------------
+
+
+def test_each_row_gets_its_own_copies(spark):
+    rows = [*((None, "a b c" if i % 2 else "d e f g", "s" if i % 3 else None) for i in range(300)), *((7, "x y", "t") for _ in range(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mixed = mixing.mix(docs)
+    key = ["doc_id", "source", "size"]
+    want = {tuple(r[k] for k in key): r["n"] for r in mixed.groupBy(*key).agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    out = mixing.apply_mix(docs, mixed)
+    have = {tuple(r[k] for k in key): r["n"] for r in out.withColumn("size", F.size(F.split("text", " ")).cast("long")).groupBy(*key).agg(F.count("*").alias("n")).collect()}
+    assert out.columns == docs.columns and have == want
+    assert any(r["copies"] == 0 for r in mixed.collect())

@@ -15,12 +15,14 @@ range partitioning by (source, size, hash): a source may hold any share of the r
 Defined results: a null text has size 0; documents of size 0 are ranked like others and
 take no words; a source without words has target 0 and no copies; repeated rows each
 count; other columns of the input are ignored by ``mix`` and kept by ``apply_mix``,
-which emits each row as often as its id's largest number of copies.
+which emits each row as often as it has copies, null and repeated ids included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import reliable
@@ -75,13 +77,17 @@ def targets(sums: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share
     return levels.select("source", "source_size", F.least(F.lit(float(cap)) * F.col("source_size"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies), a row for each input row."""
     prepare(docs.sparkSession)
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _size(text_col).alias("size"),
     )
     salted = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = cut(sized.withColumn("hash", salted).withColumn("row", F.monotonically_increasing_id()), 20_000)
@@ -105,8 +111,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     return out.select("r.doc_id", "r.source", "r.size", "k.source_size", "k.target", (crossed(place) - crossed(place - 1)).alias("copies"))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as ``mixed`` has copies of its id."""
-    chosen = mixed.groupBy(F.col("doc_id").alias("_waymark_id")).agg(F.max("copies").cast("int").alias("_waymark_copies")).where("_waymark_copies > 0")
-    out = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_waymark_id")))
-    return out.withColumn("_waymark_copy", F.explode(F.sequence(F.lit(1), F.col("_waymark_copies")))).select(*(docs[c] for c in docs.columns))
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as ``mixed`` has copies of it.
+
+    Rows of one id, source and size are alike to ``mix``, so they take its decisions on
+    them in turn, in order of a hash of their texts.
+    """
+    key = ["_waymark_id", "_waymark_source", "_waymark_size"]
+    turn = lambda df, *by: df.withColumn("_waymark_turn", F.row_number().over(Window.partitionBy(*key).orderBy(*by)))
+    chosen = mixed.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]), F.col("copies").cast("int").alias("_waymark_copies"))
+    chosen = turn(chosen, F.col("_waymark_copies").desc())
+    named = docs.withColumns({key[0]: F.col(id_col).cast("long"), key[1]: F.col(source_col).cast("string"), key[2]: _size(text_col)})
+    named = turn(named, F.xxhash64(F.col(text_col))).alias("d")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*key, "_waymark_turn"]]
+    out = named.join(chosen.where("_waymark_copies > 0").alias("c"), reduce(lambda a, b: a & b, same))
+    return out.withColumn("_waymark_copy", F.explode(F.sequence(F.lit(1), F.col("_waymark_copies")))).select(*(F.col(f"d.`{c}`") for c in docs.columns))
