@@ -30,6 +30,10 @@ class Bloom:
             found[row["bucket"] * BUCKET // 8 :][: len(piece)] = piece
         self.shared = ids.sparkSession.sparkContext.broadcast(found)
 
+    def close(self) -> None:
+        """Lets go of the broadcast; only after everything that asks it has been written."""
+        self.shared.destroy()
+
     def hits(self, lists: pa.ListArray) -> np.ndarray:
         """Which of some lists of positions may be in the filter; null lists never are."""
         out = np.zeros(len(lists), dtype=bool)

@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, shingles array<long>) of the documents named in ids.
+    """(id, shingles array<long>) of the documents named in ids, as a checkpoint.
 
     Texts that a Bloom filter of the ids rules out are left where they lie; the others'
     sets, not their texts, meet the ids in an exact join.
@@ -126,7 +126,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
 
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), positions(key).alias("bits"))
-    return rows.mapInArrow(emit, "id long, shingles array<long>").join(ids.hint("merge"), "id", "left_semi")
+    sets = cut(rows.mapInArrow(emit, "id long, shingles array<long>").join(ids.hint("merge"), "id", "left_semi"), 10_000)
+    bloom.close()
+    return sets
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -253,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = table.join(heads, "key").select("key", "id", "n", "hub")
     chosen = table.groupBy("id", "n").agg(F.max("hub").alias("hub"))
     chosen = cut(chosen.select("id", "n", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n")))
-    sets = cut(full_sets(docs, chosen.select("id"), id_col, text_col, shingle), 10_000)
+    sets = full_sets(docs, chosen.select("id"), id_col, text_col, shingle)
     members = chosen.select("hub", "id", "n").unionByName(chosen.select("hub", F.col("hub").alias("id"), F.col("hub_n").alias("n"))).distinct()
     first = cut(within_hubs(members, sets, percent))
     found = components(first)
