@@ -2,12 +2,15 @@
 
 Features of a text: densities of lexicon words, how near they are to second-person
 pronouns, capitals, punctuation and obfuscated words.  The lexicon is learned: hashes
-of words and of word beginnings that labelled toxic texts have far more often.
+of words and of word beginnings (of a few lengths in bytes, so a beginning may end within a
+character) that labelled toxic texts have far more often.  Spark counts every term of every
+labelled text; all that pass a likelihood-ratio test at LEAST_SURPRISE enter the lexicon.
 
 Labels are read only of rows whose crc32(id as text) mod 5 is not 0.  Trees, lexicon
 and calibration are fitted to at most MAX_LABELLED of them, those of least hash of id;
-their ids and features are all that reaches the driver.  A training row's features come
-from the lexicon of the other half of the rows, and calibration uses out-of-fold scores.
+their ids, features and lexicon terms are all that reaches the driver.  A training row's
+features come from the lexicon of the other half of the rows, and calibration uses
+out-of-fold scores.
 
 Defined results: a null or empty text has features 0 and is scored like any other; a
 null id counts as the text ''; without labels of both classes every score is the share
@@ -21,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import append_columns, cut, prepare
@@ -29,14 +32,16 @@ from .textops import _LOWER, _SPACE, chunks, mix, powers, release, texts_of
 
 FOLDS = 5
 MAX_LABELLED = 20_000
-#: Terms that may enter a lexicon, and terms in it.
-MAX_TERMS, MAX_LEXICON = 50_000, 1_000
+#: Distinct terms of one half and label that a task gathers before it sends them on.
+GATHER = 1 << 20
 #: Least log-odds, and least likelihood ratio statistic, of a term in a lexicon.
 LEAST_ODDS, LEAST_SURPRISE = 2.0, 10.8
 PREFIXES = (4, 5, 6, 7, 8)
 #: Second-person pronouns of English, German, French and Spanish.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer sie tu te toi ton ta tes vous votre vos tú tu ti tus usted ustedes vosotros".split()
-LEET = str.maketrans("013457@$", "oieastas")
+#: Digits and symbols that stand for letters, by byte.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[list(b"013457@$")] = list(b"oieastas")
 NAMES = ("hits", "hit_weight", "top_weight", "hit_share", "second_person", "proximity", "capitals", "all_caps", "exclaims", "questions", "punctuation", "symbols", "digits", "obfuscated", "hidden_hits", "log_words", "word_length")
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -97,9 +102,9 @@ def _weights(hashes: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray]) -> np.n
     return np.where(keys[at] == hashes, values[at], 0.0)
 
 
-def _obfuscated(texts: list[bytes], words: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _obfuscated(words: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Per text: words with digits or symbols between letters; those of them that are in
-    the lexicon once these are read as letters or left out."""
+    the lexicon once these are read as letters or left out.  Each is read up to its blank."""
     count, hidden = np.zeros(words.n), np.zeros(words.n)
     gap = words.start[1:] - words.stop[:-1]
     near = np.flatnonzero((gap > 0) & (gap <= 3) & (words.owner[1:] == words.owner[:-1]))
@@ -108,20 +113,20 @@ def _obfuscated(texts: list[bytes], words: Words, lexicon: tuple[np.ndarray, np.
     blank = np.concatenate(([0], np.cumsum(_SPACE[words.lower] | (words.lower == 45) | (words.lower == 39))))
     near = near[blank[words.start[near + 1]] == blank[words.stop[near]]]
     first = near[np.concatenate(([True], near[1:] != near[:-1] + 1))] if len(near) else near
-    seen, found = [], []
-    for w in first.tolist():
-        begin, end = int(words.start[w]), int(words.stop[w])
-        while end < len(words.lower) and not _SPACE[words.lower[end]] and end - begin < 64:
-            end += 1
-        core = words.lower[begin:end].tobytes().decode("utf-8", "ignore")
-        plain = "".join(c for c in core.translate(LEET) if c.isalpha()).encode()
-        bare = "".join(c for c in core if c.isalpha()).encode()
-        seen.append(int(words.owner[w]))
-        found.append((plain[:60], bare[:60]))
-    count += np.bincount(seen, minlength=words.n)
-    for side in (0, 1):
-        hit = _weights(_hash([f[side] or b"-" for f in found]), lexicon) > 0
-        hidden += np.bincount(seen, weights=hit, minlength=words.n)
+    if not len(first):
+        return count, hidden
+    begin, blanks = words.start[first], np.flatnonzero(_SPACE[words.lower])
+    end = blanks[np.searchsorted(blanks, begin)]  # the chunk ends with a line feed
+    owner = words.owner[first]
+    count += np.bincount(owner, minlength=words.n)
+    for read in (_PLAIN[words.lower], words.lower):
+        kept = _LETTER[read]
+        letters, at = read[kept], np.concatenate(([0], np.cumsum(kept)))
+        base, inverse = powers(len(letters) + 1)
+        sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+        np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * base[: len(letters)], out=sums[1:])
+        hit = _weights(mix((sums[at[end]] - sums[at[begin]]) * inverse[at[begin]]), lexicon) > 0
+        hidden += np.bincount(owner, weights=hit, minlength=words.n)
     return count, hidden
 
 
@@ -155,7 +160,7 @@ def features(texts: list[bytes], lexicon: tuple[np.ndarray, np.ndarray]) -> np.n
     size = np.maximum(np.diff(np.concatenate(([0], w.ends))) - 1.0, 1.0)
     letters = np.maximum(count(slice(None), values=length.astype(float)), 1.0)
     is_in = lambda chars: np.isin(w.raw, np.frombuffer(chars, np.uint8))
-    odd, hidden = _obfuscated(texts, w, lexicon)
+    odd, hidden = _obfuscated(w, lexicon)
     return np.column_stack((
         hits, count(hit, values=weight), top, 100 * hits / n, 100 * count(person) / n, proximity, by_char(capital) / letters, count(loud) / n,
         by_char(w.raw == 33) / n, by_char(w.raw == 63) / n, by_char(is_in(b".,;:!?")) / n, by_char(is_in(b"#*$%&|<>@_~^")) / size, by_char(is_in(b"0123456789")) / size,
@@ -248,56 +253,78 @@ class Model:
         return np.clip(np.interp(raw, *self.curve), 0.0, 1.0)
 
 
-def fold(column) -> F.Column:
+def fold(column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def _lexicon(found: list, half: int | None, docs: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of one half of the training rows (None: of both) and their log-odds."""
-    sides = (0, 1) if half is None else (half,)
-    toxic, other = sum(docs[s][1] for s in sides), sum(docs[s][0] for s in sides)
-    if not found or not toxic:
-        return np.empty(0, np.uint64), np.empty(0)
-    term = np.array([r["term"] for r in found], dtype=np.int64).view(np.uint64)
-    a = sum(np.array([r[f"toxic{s}"] for r in found], dtype=float) for s in sides)
-    b = sum(np.array([r[f"other{s}"] for r in found], dtype=float) for s in sides)
-    odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1))
-    expected = (a + b) * toxic / (toxic + other), (a + b) * other / (toxic + other)
-    surprise = 2 * sum(n * np.log(np.maximum(n, 0.5) / np.maximum(e, 1e-9)) for n, e in zip((a, b), expected))
-    good = np.flatnonzero((odds >= LEAST_ODDS) & (surprise >= LEAST_SURPRISE))
-    good = good[np.lexsort((term[good], -surprise[good]))][:MAX_LEXICON]
-    good = good[np.argsort(term[good])]
-    return term[good], odds[good]
-
-
-def _terms(rows: DataFrame, only: np.ndarray | None, spark) -> DataFrame:
-    """(term, half, toxic, n): texts of each half and label with a term; only: sorted terms."""
-    kept = None if only is None else spark.sparkContext.broadcast(only)
+def _evidence(sides: tuple[int, ...], sizes: dict[int, list[int]]) -> tuple[Column, Column]:
+    """(log-odds, likelihood ratio statistic) of a term in some halves of the training rows."""
+    toxic, other = (float(sum(sizes[s][k] for s in sides)) for k in (1, 0))
+    total = lambda name: sum((F.col(f"{name}{s}") for s in sides), F.lit(0.0))
+    a, b = total("toxic"), total("other")
+    odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (other + 1))
+    part = lambda n, of: F.when(n > 0, n * F.log(n / ((a + b) * of / (toxic + other)))).otherwise(0.0)
+    return odds, 2 * (part(a, toxic) + part(b, other))
+
+
+def _terms(rows: DataFrame) -> DataFrame:
+    """(term, toxic0, other0, toxic1, other1): texts of each label and half that have a term."""
 
     def count(batches):
         release()
-        found = {}
+        found: dict[int, list] = {}
+
+        def merged(g):
+            term, n = np.concatenate([t for t, _ in found[g]]), np.concatenate([n for _, n in found[g]])
+            order = np.argsort(term, kind="stable")
+            term, n = term[order], n[order]
+            at = np.flatnonzero(np.concatenate(([len(term) > 0], term[1:] != term[:-1])))
+            found[g] = [(term[at], np.add.reduceat(n, at) if len(at) else n)]
+            return found[g][0]
+
+        def sent(g):
+            term, n = merged(g)
+            for i in range(0, len(term), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(term[part].view(np.int64)), pa.array(np.full(len(term[part]), g, np.int32)), pa.array(n[part])], ["term", "side", "n"])
+            found[g] = []
+
         for b in batches:
             texts, group = texts_of(b.column(0)), b.column(1).to_numpy()
             for i, j in chunks(texts):
                 owner, term = Words(texts[i:j]).terms()
-                if kept is not None:
-                    at = np.minimum(np.searchsorted(kept.value, term), max(len(kept.value) - 1, 0))
-                    mask = kept.value[at] == term if len(kept.value) else np.zeros(len(term), bool)
-                    owner, term = owner[mask], term[mask]
-                for g in np.unique(group[i:j]):
-                    found.setdefault(int(g), []).append(term[group[i:j][owner] == g])
-        for g, parts in found.items():
-            term, n = np.unique(np.concatenate(parts), return_counts=True)
-            for i in range(0, len(term), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(term[part].view(np.int64)), pa.array(np.full(len(term[part]), g, np.int32)), pa.array(n[part])], ["term", "side", "n"])
+                for g in np.unique(group[i:j]).tolist():
+                    own = term[group[i:j][owner] == g]
+                    found.setdefault(g, []).append(np.unique(own, return_counts=True))
+                    if sum(len(t) for t, _ in found[g]) > GATHER and len(merged(g)[0]) > GATHER // 2:
+                        yield from sent(g)
+        for g in list(found):
+            if found[g]:
+                yield from sent(g)
 
     each = rows.select("text", (F.col("half") * 2 + F.col("toxic")).cast("int").alias("side")).mapInArrow(count, "term long, side int, n long")
     sums = [F.coalesce(F.sum(F.when(F.col("side") == 2 * half + toxic, F.col("n"))), F.lit(0)).alias(f"{name}{half}") for half in (0, 1) for toxic, name in ((0, "other"), (1, "toxic"))]
     return each.groupBy("term").agg(*sums)
 
 
+def lexicons(rows: DataFrame, sizes: dict[int, list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted terms and their log-odds: the lexicons of both halves together and of each."""
+    counted, kept = _terms(rows), []
+    for name, sides in enumerate(((0, 1), (0,), (1,))):
+        odds, surprise = _evidence(sides, sizes)
+        some = (sum(sizes[s][1] for s in sides) > 0) and (sum(sizes[s][0] for s in sides) > 0)
+        kept.append(F.when((odds >= LEAST_ODDS) & (surprise >= LEAST_SURPRISE) & F.lit(some), odds).alias(f"odds{name}"))
+    found = counted.select("term", *kept).where("odds0 is not null or odds1 is not null or odds2 is not null").toArrow()
+    term = found["term"].to_numpy().view(np.uint64)
+    out = []
+    for name in range(3):
+        odds = found[f"odds{name}"].to_numpy()
+        at = np.flatnonzero(~np.isnan(odds))
+        at = at[np.argsort(term[at])]
+        out.append((term[at], odds[at]))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     spark = prepare(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).where(fold(F.col(id_col)) != 0)
@@ -312,11 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, other = (sizes[0][k] + sizes[1][k] for k in (1, 0))
     if not toxic or not other:
         return Model((np.empty(0, np.uint64), np.empty(0)), Trees(), (np.zeros(1), np.zeros(1)), float(toxic > 0))
-    least = max(3, toxic // 100)
-    frequent = _terms(rows.where("toxic = 1"), None, spark).withColumn("n", F.col("toxic0") + F.col("toxic1")).where(F.col("n") >= least)
-    terms = np.sort(np.array([r["term"] for r in frequent.orderBy(F.desc("n"), "term").limit(MAX_TERMS).select("term").collect()], dtype=np.int64).view(np.uint64))
-    found = _terms(rows, terms, spark).collect()
-    whole, halves = _lexicon(found, None, sizes), [_lexicon(found, half, sizes) for half in (0, 1)]
+    whole, *halves = lexicons(rows, sizes)
     shared = spark.sparkContext.broadcast(halves)
 
     def measure(batches):
@@ -330,6 +353,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(3).slice(i, j - i), b.column(4).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.reshape(-1)))], ["_id", "toxic", "fold", "x"])
 
     table = rows.select("_id", "text", "half", "toxic", "fold").mapInArrow(measure, "_id long, toxic int, fold int, x array<double>").toArrow()
+    shared.destroy()
     order = np.lexsort((table["toxic"].to_numpy(), table["_id"].to_numpy()))
     x = np.array(table["x"].combine_chunks().flatten()).reshape(-1, len(NAMES))[order]
     y, folds = table["toxic"].to_numpy()[order].astype(float), table["fold"].to_numpy()[order]
