@@ -86,7 +86,7 @@ def test_a_small_language_keeps_its_quantiles(spark, monkeypatch, unbroadcast):
         monkeypatch.setattr(kn, "small", lambda df: df)
     rows = spark.range(60_000).select(F.when(F.col("id") < 40, "small").when(F.col("id") < 60, "tiny").otherwise("big").alias("lang"), F.lit(2).alias("length_class"))
     rows = rows.withColumn("value", F.when(F.col("lang") == "small", 3.0).otherwise(1.0))
-    found = kn.quantiles(rows, "lang", "value", {"mid": 0.5})
+    found = kn.quantiles(rows, "lang", {"value": {"mid": 0.5}})
     have = kn.with_quantiles(rows, "lang", found, ["mid"]).groupBy("lang").agg(F.min("mid").alias("a"), F.max("mid").alias("b"), F.count("*").alias("n")).collect()
     assert {r["lang"]: (round(r["a"], 2), round(r["b"], 2), r["n"]) for r in have} == {"small": (3.0, 3.0, 40), "tiny": (1.0, 1.0, 20), "big": (1.0, 1.0, 59_940)}
 

@@ -172,6 +172,14 @@ def _plain_model(counts: Counter) -> dict:
     return p
 
 
+def _logs(model, grams):
+    """Log-probabilities of 4-grams from the arrays of a model, in one shard."""
+    keys = np.array([((a * 64 + b) * 64 + c) * 64 + d for a, b, c, d in grams], dtype=np.int32)
+    lower, *shards = model.shards(1 << 30)
+    own, at = np.unique(keys, return_inverse=True)
+    return kn._joined(own, lower, iter(shards))[at]
+
+
 def test_kneser_ney(spark, docs):
     texts = docs.where("doc_id < 25")
     model = kn.fit(kn.count_ngrams(texts, "text"))
@@ -180,24 +188,32 @@ def test_kneser_ney(spark, docs):
         symbols = [0] * 3 + [int(kn._TABLE[min(ord(c), 65535)]) for c in r["text"]]
         counts.update(tuple(symbols[i : i + 4]) for i in range(len(symbols) - 3))
     p = _plain_model(counts)
-    dense = model.dense()
     random = np.random.default_rng(0)
     grams = [*list(counts)[:300], *map(tuple, random.integers(1, 64, (300, 4)).tolist())]
-    for g in grams:
-        key = ((g[0] * 64 + g[1]) * 64 + g[2]) * 64 + g[3]
-        assert dense[key] == pytest.approx(math.log(p(g)), abs=2e-3)
-    sums = np.exp(dense.reshape(-1, 64)[:, 1:].astype(np.float64)).sum(1)
-    assert np.allclose(sums[random.integers(0, 64**3, 500)], 1, atol=1e-3)
+    for g, log in zip(grams, _logs(model, grams)):
+        assert log == pytest.approx(math.log(p(g)), abs=2e-3)
+    for c in random.integers(1, 64, (50, 3)).tolist() + [list(g[:3]) for g in list(counts)[:50]]:
+        assert np.exp(_logs(model, [(*c, x) for x in range(1, 64)])).sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_scores_follow_model(spark, docs):
     model = kn.fit(kn.count_ngrams(docs.where("doc_id < 20"), "text"))
-    scorer = kn.Scorer(spark, [model])
-    dense, texts = model.dense(), ["abc", "", "\x00é", "x" * 10]
-    for text, log in zip(texts, scorer.logs(texts)[:, 0]):
+    scorer = kn.Scorer(spark, model)
+    texts = ["abc", "", "\x00é", "x" * 10]
+    for text, log in zip(texts, scorer.logs(texts)):
         symbols = [0] * 3 + [int(kn._TABLE[1 if c == "\0" else ord(c)]) for c in text]
-        keys = [((a * 64 + b) * 64 + c) * 64 + d for a, b, c, d in zip(symbols, symbols[1:], symbols[2:], symbols[3:])]
-        assert log == pytest.approx(float(dense[keys].sum()) if keys else 0.0, abs=1e-4)
+        grams = list(zip(symbols, symbols[1:], symbols[2:], symbols[3:]))
+        assert log == pytest.approx(sum(map(float, _logs(model, grams))) if grams else 0.0, abs=1e-3)
+
+
+def test_shards(spark, docs, monkeypatch):
+    """Many small shards score like one."""
+    model = kn.fit(kn.count_ngrams(docs.where("doc_id < 20"), "text"))
+    texts = [r["text"] for r in docs.where("doc_id between 15 and 30").collect()] + ["", "zzzzqqqq"]
+    one = kn.Scorer(spark, model).logs(texts)
+    monkeypatch.setattr(kn, "SHARD", 500)
+    many = kn.Scorer(spark, model)
+    assert len(many.parts) > 10 and np.allclose(many.logs(texts), one)
 
 
 def _base(text):

@@ -1,27 +1,32 @@
 """Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
 
-The model comes from joins of n-gram counts, sharded by key, with their contexts and
-the next lower order (``kneser_ney.fit``).  Only these joins are sharded: the finished
-table, at most 2**24 entries, is broadcast, and each text is looked up in it where it
-lies (``kneser_ney.Scorer``).  A document is rejected above q99 + 1.5 (q99 - q50) of the trusted documents of its language
-and length.
+The trusted documents are dealt to two halves by a hash of their ids.  A model of each half
+scores the other, and a document is rejected if the model of all finds it above the 0.999
+quantile of those scores in its language and length: of trusted texts that a model hasn't
+seen, one in a thousand would go.
+
+The distinct n-grams of some documents, sorted, meet the shards of the finished count table
+one after another (``kneser_ney.Scorer``); the shards are broadcast, as at most 2**24
+n-grams exist, and no text or n-gram of a document is shuffled.
 
 Defined results: a null or empty text has a null perplexity and is rejected; a language
-without enough trusted documents uses the quantiles of all, a length without any trusted
-document those of all lengths; without any trusted text nothing but empty texts is rejected; every input row gives one row.
+without enough trusted documents uses the quantiles of all, a length without any those of
+all lengths; without any trusted text nothing but empty texts is rejected; every input row
+gives one row.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
 from .session import append_columns, cut, prepare
 from .textops import batch, word_count
 
-MARGIN = 1.5
+LEVEL = 0.999
 #: The model is fitted to at most this many trusted documents, those of least hash of id.
 #: Their ids (0.8 MB) are broadcast, so no text is shuffled; the quantiles take all of them.
 MAX_TRUSTED = 100_000
@@ -36,37 +41,55 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def _measure(scorer: kn.Scorer, texts: list[str]) -> tuple[list[int], list[float | None]]:
     """Words and log-perplexity (null without characters) of each text."""
     words = [word_count(t.encode("utf-8", "surrogatepass")) for t in texts]
-    return words, [-log / len(t) if t else None for t, log in zip(texts, scorer.logs(texts)[:, 0].tolist())]
+    return words, [-log / len(t) if t else None for t, log in zip(texts, scorer.logs(texts).tolist())]
+
+
+def half(id_col: str) -> Column:
+    """0 or 1 by a hash of the id."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit("half")), F.lit(2)).cast("int")
 
 
 class Classifier:
-    """A model of trusted text with the thresholds that its own documents give."""
+    """A model of trusted text with the thresholds that its halves give each other."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED, level: float = LEVEL, least_docs: int = kn.LEAST_DOCS) -> None:
         spark = prepare(docs.sparkSession)
         self.columns = (id_col, text_col, lang_col)
-        trusted = trusted_ids(labels)
-        named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        chosen = cut(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
+        self.docs, self.trusted = docs, trusted_ids(labels)
+        named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        chosen = cut(self.trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
         text = named.join(F.broadcast(chosen), "doc_id", "left_semi")
-        scorer = self.scorer = kn.Scorer(spark, [kn.fit(kn.count_ngrams(text, "text"))])
+        table = kn.count_ngrams(text, "text", half("doc_id")).toArrow()
+        part, key, n = (table[c].to_numpy() for c in ("part", "key", "n"))
+        halves = [kn.Scorer(spark, kn.model_of(key[part != p], n[part != p])) for p in (0, 1)]
+        both, at = np.unique(key, return_inverse=True)
+        self.scorer = kn.Scorer(spark, kn.model_of(both, np.bincount(at, n, len(both)).astype(np.int64)))
+        # no text moves: all are scored where they lie, then the trusted are told apart
+        scored = self._scored(docs, halves).join(self.trusted, "doc_id", "left_semi")
+        self.found = cut(kn.quantiles(scored, "lang", {"log_ppl": {"_waymark_upper": level}}, least_docs))
+        for scorer in halves:
+            scorer.close()
+
+    def _scored(self, docs: DataFrame, scorers: list[kn.Scorer]) -> DataFrame:
+        """Words and log-perplexity of each document, by the scorer of its half if there are two."""
+        id_col, text_col, lang_col = self.columns
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("log_ppl", pa.float64())])
 
         def run(batches):
             for b in batches:
-                words, logs = _measure(scorer, [t or "" for t in b.column(1).to_pylist()])
-                yield batch({"doc_id": b.column(0), "lang": b.column(2), "n_words": words, "log_ppl": logs}, schema)
+                own = b.column(3).to_numpy()
+                for p, scorer in enumerate(scorers):
+                    mine = b if len(scorers) == 1 else b.filter(pa.array(own == p))
+                    words, logs = _measure(scorer, [t or "" for t in mine.column(1).to_pylist()])
+                    yield batch({"doc_id": mine.column(0), "lang": mine.column(2), "n_words": words, "log_ppl": logs}, schema)
 
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-        scored = rows.mapInArrow(run, "doc_id long, lang string, n_words long, log_ppl double").withColumn("length_class", kn.length_class(F.col("n_words")))
-        scored = scored.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
-        self.scored = cut(scored.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
-        found = kn.quantiles(self.scored.where("trusted"), "lang", "log_ppl", {"q50": 0.5, "q99": 0.99})
-        self.found = cut(found.withColumn("_waymark_upper", F.col("q99") + MARGIN * (F.col("q99") - F.col("q50"))))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), half(id_col).alias("half"))
+        return rows.mapInArrow(run, "doc_id long, lang string, n_words long, log_ppl double").withColumn("length_class", kn.length_class(F.col("n_words")))
 
     def verdicts(self) -> DataFrame:
         """(doc_id, lang, n_words, trusted, perplexity, threshold, kept), a row for each document."""
-        out = kn.with_quantiles(self.scored, "lang", self.found, ["_waymark_upper"])
+        scored = self._scored(self.docs, [self.scorer]).join(self.trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
+        out = kn.with_quantiles(scored.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "lang", self.found, ["_waymark_upper"])
         return out.select("doc_id", "lang", "n_words", "trusted", F.exp("log_ppl").alias("perplexity"), F.exp("_waymark_upper").alias("threshold"), self._good("log_ppl").alias("kept"))
 
     def keep(self, docs: DataFrame) -> DataFrame:
