@@ -13,6 +13,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.checkpoints import remove, scratch
 from waymark.llm import bpe_replay, minhash_dedup, mixing, quality_lm, toxicity_gbt
 from waymark.llm.session import write_out
 
@@ -32,7 +33,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near copies (five-word shingles, 0.8)."""
+    """Keeps the least id of each group of near copies (five-word shingles, 0.8; operator 9's
+    own query takes the four words that its contract names)."""
     return minhash_dedup.keep_first(docs)
 
 
@@ -60,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each result is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; each result is written to the shared folder,
+    and then what it was made of is deleted there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = write_out(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = write_out(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = docs.inputFiles()[0].rsplit("/", 1)[0] if docs.inputFiles() else None
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,9 +13,11 @@ import io
 import keyword
 import math
 import re
+import sys
 import token as tokens
 import tokenize
 from collections import Counter
+from contextlib import contextmanager, suppress
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -53,7 +55,20 @@ class _Rename(ast.NodeTransformer):
         return self.generic_visit(node)
 
 
+@contextmanager
+def _deep():
+    """Room for syntax trees as deep as the parser itself allows; a walk over one takes a few
+    frames a level, which live on the heap."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 100_000))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def parsed(code: str) -> ast.Module | None:
+    """The syntax tree, null if the text doesn't parse or is nested deeper than the parser goes."""
     try:
         return ast.parse(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -67,8 +82,10 @@ def code_hash(code: str) -> str:
     """
     if not code:
         return ""
-    tree = parsed(code)
-    form = code if tree is None else ast.dump(_Rename().visit(tree))
+    tree, form = parsed(code), code
+    if tree is not None:
+        with _deep(), suppress(RecursionError):
+            form = ast.dump(_Rename().visit(tree))
     return hashlib.md5(form.encode("utf-8", "replace")).hexdigest()
 
 
@@ -79,7 +96,9 @@ def compiles(code: str) -> bool:
 def reprinted(code: str) -> str | None:
     """The program in one canonical layout, null if it doesn't parse."""
     tree = parsed(code)
-    return None if tree is None else ast.unparse(tree)
+    with _deep(), suppress(RecursionError):
+        return None if tree is None else ast.unparse(tree)
+    return None
 
 
 # --- tokens -----------------------------------------------------------------
@@ -124,6 +143,12 @@ def token_edits(a: str, b: str) -> float:
     return float(edit_distance(tokens_with_indents(a), tokens_with_indents(b)))
 
 
+def token_edits_over_source(a: str, b: str) -> float | None:
+    """``token_edits`` over the first program's tokens; null if it has none."""
+    n = len(tokens_with_indents(a))
+    return token_edits(a, b) / n if n else None
+
+
 def token_similarity(a: str, b: str) -> float:
     """Matching ratio of tokens, of plain words where either can't be tokenised."""
     x, y = tokens_with_comments(a), tokens_with_comments(b)
@@ -140,14 +165,21 @@ def closest(word: str, known: list[str]) -> str | None:
 # --- trees ------------------------------------------------------------------
 
 
-def _postorder(node: ast.AST, labels: list[str], leftmost: list[int]) -> int:
-    first = None
-    for child in ast.iter_child_nodes(node):
-        at = _postorder(child, labels, leftmost)
-        first = at if first is None else first
-    labels.append(type(node).__name__)
-    leftmost.append(len(labels) - 1 if first is None else first)
-    return leftmost[-1]
+def _postorder(root: ast.AST) -> tuple[list[str], list[int]]:
+    """(labels of all nodes, index of each node's leftmost leaf), children before parents."""
+    labels, leftmost = [], []
+    walk = [(root, ast.iter_child_nodes(root), None)]
+    while walk:
+        node, children, first = walk.pop()
+        child = next(children, None)
+        if child is not None:
+            walk += [(node, children, first), (child, ast.iter_child_nodes(child), None)]
+            continue
+        labels.append(type(node).__name__)
+        leftmost.append(len(labels) - 1 if first is None else first)
+        if walk and walk[-1][2] is None:
+            walk[-1] = (*walk[-1][:2], leftmost[-1])
+    return labels, leftmost
 
 
 def tree_edits(a: str, b: str) -> float | None:
@@ -155,9 +187,7 @@ def tree_edits(a: str, b: str) -> float | None:
     s, t = parsed(a), parsed(b)
     if s is None or t is None:
         return None
-    la, ia, lb, ib = [], [], [], []
-    _postorder(s, la, ia)
-    _postorder(t, lb, ib)
+    (la, ia), (lb, ib) = _postorder(s), _postorder(t)
     roots = lambda left: sorted({v: k for k, v in enumerate(left)}.values())
     out = [[0] * len(lb) for _ in la]
     for i in roots(ia):
@@ -180,6 +210,12 @@ def tree_edits(a: str, b: str) -> float | None:
     return float(out[-1][-1])
 
 
+def tree_edits_over_source(a: str, b: str) -> float | None:
+    """``tree_edits`` over the first program's tree."""
+    d = tree_edits(a, b)
+    return None if d is None else d / tree_size(a)
+
+
 def tree_size(code: str) -> float | None:
     tree = parsed(code)
     return None if tree is None else float(sum(1 for _ in ast.walk(tree)))
@@ -236,16 +272,61 @@ def rouge_distance(a: str, b: str, n: int = 1) -> float:
     return 1.0 - (2 * hit / (p + r) if hit else 0.0)
 
 
-def _subtrees(tree: ast.AST) -> Counter:
-    out: Counter = Counter()
+def rouge2_distance(a: str, b: str) -> float:
+    return rouge_distance(a, b, 2)
+
+
+def rouge_l_distance(a: str, b: str) -> float:
+    return rouge_distance(a, b, 0)
+
+
+def _union_lcs(line: list[str], others: list[list[str]]) -> set[int]:
+    """Positions of a line that lie on its longest common subsequence with any other line."""
+    hit: set[int] = set()
+    for other in others:
+        table = [[0] * (len(other) + 1) for _ in range(len(line) + 1)]
+        for i, x in enumerate(line, 1):
+            for j, y in enumerate(other, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+        i, j = len(line), len(other)
+        while i and j:
+            if line[i - 1] == other[j - 1]:
+                hit.add(i - 1)
+                i, j = i - 1, j - 1
+            elif table[i - 1][j] >= table[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+    return hit
+
+
+def rouge_lsum_distance(a: str, b: str) -> float:
+    """1 - F1 of the union of longest common subsequences, line by line; a word of either
+    side counts at most as often as the other side has it."""
+    want, have = ([line.split() for line in t.split("\n") if line.strip()] for t in (a, b))
+    left, right = Counter(w for line in want for w in line), Counter(w for line in have for w in line)
+    p, r, hits = right.total(), left.total(), 0
+    for line in want:
+        for i in sorted(_union_lcs(line, have)):
+            if left[line[i]] > 0 and right[line[i]] > 0:
+                hits += 1
+                left[line[i]] -= 1
+                right[line[i]] -= 1
+    return 1.0 - (2 * hits / (p + r) if hits else 0.0)
 
-    def shape(node: ast.AST) -> str:
-        made = f"{type(node).__name__}({','.join(shape(c) for c in ast.iter_child_nodes(node))})"
-        out[made] += 1
-        return made
 
-    shape(tree)
-    return out
+def _subtrees(tree: ast.AST) -> Counter:
+    """How often each shape of a subtree occurs; a shape is its node's kind over its children's."""
+    labels, leftmost = _postorder(tree)
+    shapes: list[bytes] = []
+    roots: list[int] = []  # subtrees that no parent has taken yet
+    for i, label in enumerate(labels):
+        own = []
+        while roots and roots[-1] >= leftmost[i]:
+            own.append(shapes[roots.pop()])
+        shapes.append(hashlib.blake2b(label.encode() + b"(" + b",".join(own[::-1]) + b")", digest_size=16).digest())
+        roots.append(i)
+    return Counter(shapes)
 
 
 def _flows(tree: ast.AST) -> Counter:
@@ -386,7 +467,9 @@ _KINDS = {
     "tokens_with_comments": (tokens_with_comments, "array<string>"), "tokens_with_indents": (tokens_with_indents, "array<string>"),
     "token_distance": (token_distance, "double"), "token_edits": (token_edits, "double"), "token_similarity": (token_similarity, "double"),
     "tree_edits": (tree_edits, "double"), "tree_size": (tree_size, "double"), "tree_distance": (tree_distance, "double"),
-    "bleu_distance": (bleu_distance, "double"), "rouge_distance": (rouge_distance, "double"), "codebleu": (codebleu, "double"),
+    "bleu_distance": (bleu_distance, "double"), "rouge_distance": (rouge_distance, "double"), "rouge2_distance": (rouge2_distance, "double"),
+    "rouge_l_distance": (rouge_l_distance, "double"), "rouge_lsum_distance": (rouge_lsum_distance, "double"),
+    "token_edits_over_source": (token_edits_over_source, "double"), "tree_edits_over_source": (tree_edits_over_source, "double"), "codebleu": (codebleu, "double"),
     "unified_diff": (unified_diff, "string"), "apply_diff": (apply_diff, "string"),
     "parse_diff": (parse_diff, "array<struct<old_start:int,changes:array<struct<op:string,line:string>>>>"),
     "reconstruct": (lambda xs: reconstruct(list(xs)), "string"),

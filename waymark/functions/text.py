@@ -75,14 +75,23 @@ def python_code(text: Column) -> Column:
     return strip(found(text, PYTHON_FENCE))
 
 
-def model_code(text: Column) -> Column:
-    """Code of a generated answer: python fence (also one cut short), else the whole text.
+def model_code(text: Column, rebuilt: Column | None = None) -> Column:
+    """Code of a generated answer: python fence (also one cut short), else ``rebuilt`` if there
+    is a diff fence, else the whole text.
 
     A closing fence is appended first, so generation may stop before it; an empty fence
-    gives null.  Answers with a diff fence are rebuilt by ``functions.code.apply_diff``.
+    gives null.  ``rebuilt`` is the program that ``functions.code.reconstruct`` makes of the
+    conversation; without it an answer that is a diff has no code.
     """
     closed = F.concat(text, F.lit("\n```"))
-    return F.when(closed.rlike(PYTHON_FENCE), F.nullif(strip(F.regexp_extract(closed, PYTHON_FENCE, 1)), F.lit(""))).otherwise(strip(text))
+    fenced = F.nullif(strip(F.regexp_extract(closed, PYTHON_FENCE, 1)), F.lit(""))
+    made = F.lit(None).cast("string") if rebuilt is None else F.nullif(rebuilt, F.lit(""))
+    return F.when(closed.rlike(PYTHON_FENCE), fenced).when(text.rlike(DIFF_FENCE), made).otherwise(strip(text))
+
+
+def summative_feedback(text: Column) -> Column:
+    """The feedback shown after a submission: all of a grader's output."""
+    return text
 
 
 def student_code(text: Column) -> Column:
@@ -142,13 +151,22 @@ def md5(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def fill_template(template: Column, values: dict[str, Column]) -> Column:
-    """Replace each ``{name}``."""
+def fill_template(template: Column, values: dict[str, Column | list[Column]]) -> Column:
+    """Replace each ``{name}``; of a list the first, second, ... occurrence by its own value,
+    and occurrences beyond the list stay."""
     for name, value in values.items():
-        template = F.replace(template, F.lit("{" + name + "}"), value)
+        mark = F.lit("{" + name + "}")
+        template = _in_turn(template, name, mark, value) if isinstance(value, list) else F.replace(template, mark, value)
     return template
 
 
+def _in_turn(template: Column, name: str, mark: Column, values: list[Column]) -> Column:
+    given = F.array(*values) if values else F.array().cast("array<string>")
+    parts = F.split(template, r"\{" + name + r"\}", -1)
+    filled = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.coalesce(F.get(given, i - 1), mark), part)))
+    return F.array_join(filled, "")
+
+
 def placeholders(template: Column) -> Column:
     return F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1))
 

@@ -6,6 +6,7 @@ strategy, apart from broadcasts of what is checked to be small.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -106,8 +107,8 @@ def split_groups(df: DataFrame, key: str, percent: float, seed: str = "") -> Dat
     """
     groups = df.select(key).where(F.col(key).isNotNull()).distinct()
     ranked = number_rows(groups.withColumn("_hash", hash_order(key, seed=seed)), ["_hash", key], "_rank")
-    limit = groups.agg(F.floor(F.count("*") * percent / 100).alias("_limit"))
-    chosen = ranked.crossJoin(F.broadcast(limit)).where(F.col("_rank") <= F.col("_limit")).select(F.col(key).alias("_val"))
+    limit = math.floor(groups.count() * percent / 100)
+    chosen = ranked.where(F.col("_rank") <= limit).select(F.col(key).alias("_val"))
     return df.join(chosen, df[key] == F.col("_val"), "left").withColumn("split", F.when(F.col("_val").isNotNull(), "val").otherwise("train")).drop("_val")
 
 

@@ -1,89 +1,123 @@
 """Grading of programs in separate, resource-limited processes.
 
-Nothing is executed unless ``grade_programs`` is called; a program runs in a fresh
-interpreter in an empty folder, with limits on time, memory, files and processes.
+Nothing is executed unless ``grade_programs`` is called.  A program runs in a fresh
+interpreter in an empty folder, with limits on time, memory and written bytes; its output
+goes to a file.  Its test runs afterwards in a process of its own, which has the output and
+the program's text, so nothing that a program does can reach the score.  A test that
+executes the program's text itself gives that protection up.  The limits are no sandbox:
+run untrusted programs on workers that can be thrown away.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import signal
 import subprocess
 import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.code import compiles
 from ..workers import ship
 
-SECONDS, MEGABYTES = 5, 512
+SECONDS, MEGABYTES, THREADS = 5, 512, 4
+#: Bytes that a program may print; one that prints more fails.
+OUTPUT_BYTES = 1 << 20
 
-_RUNNER = """
-import builtins, contextlib, io, json, random, resource, sys
+_LIMITS = """
+import builtins, json, random, resource, sys
 resource.setrlimit(resource.RLIMIT_CPU, (%(seconds)d, %(seconds)d))
 resource.setrlimit(resource.RLIMIT_AS, (%(bytes)d, %(bytes)d))
-resource.setrlimit(resource.RLIMIT_FSIZE, (1 << 20, 1 << 20))
-with contextlib.suppress(ValueError, OSError):
-    resource.setrlimit(resource.RLIMIT_NPROC, (1, 1))
+resource.setrlimit(resource.RLIMIT_FSIZE, (%(written)d, %(written)d))
 random.seed(42)
 job = json.load(sys.stdin)
+"""
+_PROGRAM = _LIMITS + """
 given = iter(job["inputs"])
 builtins.input = lambda *a: next(given, "")
-out = io.StringIO()
-error = None
-with contextlib.redirect_stdout(out):
-    space = {"__name__": "__main__"}
-    try:
-        exec(compile(job["code"], "program", "exec"), space)
-    except SystemExit:
-        pass
-    except BaseException as e:
-        error = f"{type(e).__name__}: {e}"
-    score = None
-    if error is None and job["test"]:
-        space["program_output"] = out.getvalue()
-        try:
-            exec(compile(job["test"], "test", "exec"), space)
-            score = float(space.get("score", 0))
-        except BaseException as e:
-            error = f"{type(e).__name__}: {e}"
-print("\\n@@result " + json.dumps({"output": out.getvalue()[-20000:], "error": error, "score": score}))
+exec(compile(job["code"], "program", "exec"), {"__name__": "__main__"})
 """
+_TEST = _LIMITS + """
+space = {"__name__": "__main__", "program_output": job["output"], "program_code": job["code"]}
+exec(compile(job["test"], "test", "exec"), space)
+with open(job["result"], "w") as result:
+    json.dump(float(space.get("score", 0)), result)
+"""
+
+
+def _run(source: str, job: dict, folder: Path, seconds: int, megabytes: int) -> tuple[str, str | None]:
+    """(output, error) of one process."""
+    (folder / "work").mkdir(exist_ok=True)
+    script = source % {"seconds": seconds, "bytes": megabytes << 20, "written": OUTPUT_BYTES}
+    with open(folder / "output", "wb") as out, open(folder / "errors", "wb") as err:
+        process = subprocess.Popen([sys.executable, "-I", "-c", script], stdin=subprocess.PIPE, stdout=out, stderr=err, cwd=folder / "work", env={"PYTHONHASHSEED": "0"}, start_new_session=True)
+        try:
+            process.communicate(json.dumps(job).encode(), timeout=seconds + 1)
+        except subprocess.TimeoutExpired:
+            return "", "TimeoutExpired"
+        finally:  # with whatever it has started
+            with suppress(ProcessLookupError):
+                os.killpg(process.pid, signal.SIGKILL)
+            process.wait()
+        code = process.returncode
+    said = (folder / "errors").read_text("utf-8", "replace").strip()
+    error = f"signal {-code}" if code < 0 else said.splitlines()[-1] if code and said.startswith("Traceback") else None
+    return (folder / "output").read_text("utf-8", "replace"), error
 
 
 def run_program(code: str, test: str | None = None, inputs: list[str] | None = None, seconds: int = SECONDS, megabytes: int = MEGABYTES) -> dict:
     """output, error and score of one program; the score is what its test leaves in ``score``."""
     if not compiles(code):
         return {"output": "", "error": "SyntaxError", "score": None}
-    runner = _RUNNER % {"seconds": seconds, "bytes": megabytes << 20}
-    with tempfile.TemporaryDirectory() as folder:
-        try:
-            done = subprocess.run([sys.executable, "-I", "-c", runner], input=json.dumps({"code": code, "test": test, "inputs": inputs or []}), capture_output=True, text=True, timeout=seconds + 1, cwd=folder, env={"PYTHONHASHSEED": "0"})
-        except subprocess.TimeoutExpired:
-            return {"output": "", "error": "TimeoutExpired", "score": None}
-    _, mark, last = done.stdout.rpartition("@@result ")
-    return json.loads(last) if mark else {"output": done.stdout, "error": f"exit {done.returncode}", "score": None}
+    with tempfile.TemporaryDirectory() as one, tempfile.TemporaryDirectory() as two:
+        output, error = _run(_PROGRAM, {"code": code, "inputs": inputs or []}, Path(one), seconds, megabytes)
+        if error is not None or not test:
+            return {"output": output, "error": error, "score": None}
+        result = Path(two, "result")
+        _, error = _run(_TEST, {"test": test, "output": output, "code": code, "result": str(result)}, Path(two), seconds, megabytes)
+        score = json.loads(result.read_text()) if error is None and result.exists() else None
+    return {"output": output, "error": error, "score": score}
 
 
-def grade_programs(rows: DataFrame, keys: list[str], code: str = "code", test: str = "testcase", most: float = 100.0) -> DataFrame:
+def grade_programs(rows: DataFrame, keys: list[str], code: str = "code", test: str = "testcase", most: float = 100.0, threads: int = THREADS) -> DataFrame:
     """keys with grade (score / most * 100; 0 for any failure), error and output.
 
-    Each row starts one process.  The result isn't deterministic by nature: write it out
-    before it is used twice.
+    Each row starts a process or two, ``threads`` rows of a task at a time; rows keep their
+    order.  The result isn't deterministic by nature: write it out before it is used twice.
     """
     ship(rows.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", new_grade double, error string, output string"
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = [run_program(c or "", t) for c, t in zip(b[code], b[test])]
-            out = b[keys].copy()
-            out["new_grade"] = [float(d["score"]) / most * 100 if d["error"] is None and d["score"] is not None else 0.0 for d in done]
-            out["error"] = [d["error"] for d in done]
-            out["output"] = [d["output"] for d in done]
-            yield out
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                done = list(pool.map(lambda job: run_program(job[0] or "", job[1]), zip(b[code], b[test])))
+                out = b[keys].copy()
+                out["new_grade"] = [float(d["score"]) / most * 100 if d["error"] is None and d["score"] is not None else 0.0 for d in done]
+                out["error"] = [d["error"] for d in done]
+                out["output"] = [d["output"] for d in done]
+                yield out
 
     return rows.select(*dict.fromkeys([*keys, code, test])).mapInPandas(grade, schema)
+
+
+def grader(tests: DataFrame, on: Sequence[str], test: str = "testcase", threads: int = THREADS) -> Callable[[DataFrame], DataFrame]:
+    """A ``grade`` for ``rollout``: runs each row's code against the test of its ``on`` columns."""
+
+    def grade(rows: DataFrame) -> DataFrame:
+        task = [c for c in rows.columns if c not in ("code", test)]
+        known = rows.join(tests.select(*on, F.col(test)), list(on), "left")
+        done = grade_programs(known.where(F.col("code").isNotNull()), task, "code", test, threads=threads)
+        said = F.concat(F.lit("Unit Test Returned: "), F.col("new_grade").cast("string"), F.coalesce(F.concat(F.lit("\n"), F.col("error")), F.lit("")), F.lit("\n"), F.col("output"))
+        return done.select(*task, F.col("new_grade").alias("grade"), said.alias("feedback"))
+
+    return grade

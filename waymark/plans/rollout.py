@@ -1,8 +1,8 @@
 """Rollouts: a model continues each trajectory step by step, next to what really happened.
 
-The prompt of a step holds the answers of the steps before, so rounds are sequential; all
-tasks of a round are one DataFrame.  A model is a function from a list of conversations to
-a list of answers; it runs inside ``mapInPandas``.
+The prompt of a step holds the answers of the steps before and the feedback on them, so
+rounds are sequential; all tasks of a round are one DataFrame.  A model is a function from
+a list of conversations to a list of answers; it runs inside ``mapInPandas``.
 """
 
 from __future__ import annotations
@@ -14,62 +14,107 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import reliable
+from ..functions import code as C
 from ..functions import text as X
 from ..operators import sequence as W
 from ..workers import ship
 
 Predict = Callable[[list[list[dict]]], list[str]]
+Grade = Callable[[DataFrame], DataFrame]
 
 
-def predict_rows(prompts: DataFrame, predict: Predict, keys: Sequence[str], messages: str = "messages") -> DataFrame:
-    """keys with ``answer``; a failed batch gives null answers, and row order plays no part."""
+def predict_rows(prompts: DataFrame, predict: Predict, keys: Sequence[str], messages: str = "messages", carry: Sequence[str] = ()) -> DataFrame:
+    """keys and carried columns with ``answer``; row order plays no part."""
     ship(prompts.sparkSession)
+    kept = [*keys, *carry]
     kinds = {f.name: f.dataType.simpleString() for f in prompts.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", answer string"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in kept) + ", answer string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             given = [[{"role": m["role"], "content": m["content"]} for m in ms] for ms in b[messages]]
-            out = b[list(keys)].copy()
+            out = b[kept].copy()
             out["answer"] = predict(given)
             yield out
 
-    return prompts.select(*keys, messages).mapInPandas(run, schema)
+    return prompts.select(*kept, messages).mapInPandas(run, schema)
 
 
-def rollout(steps: DataFrame, turns: DataFrame, keys: Sequence[str], predict: Predict, grade: Callable[[Column], Column], rounds: int = 5, start: int = 2, save: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def by_column(grade: Callable[[Column], Column]) -> Grade:
+    """A grade that is an expression of the code."""
+    return lambda rows: rows.withColumn("grade", grade(F.col("code")).cast("double"))
+
+
+def _prompts(context: DataFrame, task: list[str], clean: bool, budget: int | None, tokens: Callable[[Column], Column] | None) -> DataFrame:
+    """(task, messages, history, over_budget): prompts, and all answers as they were given."""
+    turns = context.withColumn("raw", F.col("content"))
+    if clean:
+        turns = W.cleaned_prompt(turns, task, "pos", "role", "content")
+    row = F.struct("pos", "role", "content", "raw")
+    whole = turns.groupBy(*task).agg(F.array_sort(F.collect_list(row)).alias("m"))
+    history = whole.select(*task, F.transform(F.filter("m", lambda x: x["role"] == "assistant"), lambda x: x["raw"]).alias("history"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    if budget is None:
+        return history.withColumn("over_budget", F.lit(False))
+    cut = W.truncate_pairs(turns, task, budget, tokens(F.col("content")))
+    short = cut.groupBy(*task).agg(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("m"), (F.sum(tokens(F.col("content"))) >= budget).alias("over_budget"))
+    short = short.select(*task, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), "over_budget")
+    return history.drop("messages").join(short, task)
+
+
+def rollout(steps: DataFrame, turns: DataFrame, keys: Sequence[str], predict: Predict, grade: Grade, rounds: int = 5, start: int = 2, save: Callable[[DataFrame, int], DataFrame] | None = None, clean: bool = True, budget: int | None = None, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
     """A result row for each task and step.
 
     ``steps`` have seq, code and grade; ``turns`` pos, role and content with submission s at
-    pos 2 s.  ``grade`` maps generated code to a grade.  ``save`` stores a round and returns
-    it as stored (default: a reliable checkpoint); a lost executor costs one round at most.
-    A task ends after the step that reaches 100, gives up or yields no code; later steps are
+    pos 2 s and its feedback at 2 s + 1.  An answer takes the place of the submission it stands
+    for, and the feedback on it follows as a user's turn.  Answers before the last turn are
+    reduced to their code (``clean``); with a ``budget`` the oldest pairs go until a prompt
+    fits, and a task whose least prompt doesn't fit ends with ``over_budget`` set.
+
+    ``grade`` gets rows (keys, k, step, code) that have code and returns them with ``grade`` and,
+    if it likes, ``feedback`` (see ``by_column`` and ``grading.grader``); an answer that is a
+    diff is applied to the conversation's program first.  ``save`` stores a round and returns it
+    as stored (default: a reliable checkpoint); a lost executor costs one round at most.  A
+    task ends after the step that reaches 100, gives up or yields no code; later steps are
     recorded with empty code.
     """
+    if budget is not None and tokens is None:
+        raise ValueError("a budget needs a way to count tokens")
     keep = save or (lambda df, step: reliable(df))
     lengths = steps.groupBy(*keys).agg(F.max("seq").alias("n"))
     grid = W.align_truth(W.rollout_grid(lengths, "n", start, rounds), steps.select(*keys, "seq", F.col("code").alias("student_code"), F.col("grade").alias("student_grade")), keys)
     task = [*keys, "k"]
-    tasks = grid.select(*task).distinct()
+    turns = turns.select(*keys, F.col("pos").cast("int").alias("pos"), "role", "content")
     said: DataFrame | None = None
     for step in range(1, rounds + 1):
         now = grid.where(F.col("step") == step)
         if said is not None:
-            ended = said.where("ended").select(*task).distinct()
-            now = now.join(ended, task, "left_anti")
-        context = now.select(*task).join(turns, list(keys)).where(F.col("pos") < 2 * F.col("k"))
+            now = now.join(said.where("ended").select(*task).distinct(), task, "left_anti")
+        context = now.select(*task).join(turns, list(keys)).where(F.col("pos") < 2 * F.col("k")).select(*task, "pos", "role", "content")
         if said is not None:
-            own = said.select(*task, (1000 * F.col("step")).cast("int").alias("pos"), F.lit("assistant").alias("role"), F.col("answer").alias("content"))
-            context = context.select(*task, "pos", "role", "content").unionByName(own.join(now.select(*task), task, "left_semi"))
-        prompts = W.to_messages(context, task)
-        answers = predict_rows(prompts, predict, task)
-        made = now.join(answers, task, "left").withColumn("code", X.model_code(F.col("answer")))
+            at = (2 * F.col("seq")).cast("int")
+            pair = F.array(F.struct(at.alias("pos"), F.lit("assistant").alias("role"), F.col("answer").alias("content")), F.struct((at + 1).alias("pos"), F.lit("user").alias("role"), F.col("feedback").alias("content")))
+            own = said.select(*task, F.explode(pair).alias("m")).select(*task, "m.*")
+            context = context.unionByName(own.join(now.select(*task), task, "left_semi"))
+        # checked and answered once a round; a prompt that doesn't fit isn't asked
+        prompts = _prompts(context, task, clean, budget, tokens)
+        asked = predict_rows(prompts.where(~F.col("over_budget")), predict, task, carry=["history"])
+        if budget is not None:
+            asked = asked.withColumn("over_budget", F.lit(False)).unionByName(prompts.where("over_budget").select(*task, "history", F.lit(None).cast("string").alias("answer"), "over_budget"))
+        else:
+            asked = asked.withColumn("over_budget", F.lit(False))
+        rebuilt = F.when(F.col("answer").rlike(X.DIFF_FENCE), F.concat("history", F.array("answer")))
+        asked = asked.withColumn("code", X.model_code(F.col("answer"), C.udf("reconstruct")(rebuilt))).drop("history")
+        made = keep(now.join(asked, task, "left").select(*task, "step", "seq", "answer", "code", "over_budget"), 2 * step - 1)
+        graded = grade(made.where(F.col("code").isNotNull()).select(*task, "step", "code"))
+        if "feedback" not in graded.columns:
+            graded = graded.withColumn("feedback", F.concat(F.lit("Unit Test Returned: "), F.coalesce(F.col("grade").cast("string"), F.lit("0"))))
+        made = made.join(graded.select(*task, "grade", F.col("feedback").alias("feedback")), task, "left")
         failed = F.col("code").isNull()
-        made = made.withColumn("grade", F.when(~failed, grade(F.col("code"))))
         made = made.withColumn("ended", failed | F.coalesce(F.col("grade") >= 100, F.lit(False)) | F.coalesce(X.gives_up(F.col("code")), F.lit(False)))
-        made = keep(made.select(*task, "step", "seq", "answer", "code", "grade", "ended"), step)
+        made = keep(made.select(*task, "step", "seq", "answer", "code", "grade", "feedback", "ended", "over_budget"), 2 * step)
         said = made if said is None else said.unionByName(made)
-    rows = grid.join(said.select(*task, "step", "answer", F.col("code").alias("made"), "grade", "ended"), [*task, "step"], "left").join(tasks, task)
+    rows = grid.join(said.select(*task, "step", "answer", F.col("code").alias("made"), "grade", "ended", "over_budget"), [*task, "step"], "left")
     error = F.col("ended") & F.col("made").isNull()
     rows = W.recording_mode(rows, keys, F.col("ended") & F.col("made").isNotNull(), error)
-    return rows.withColumn("code", F.coalesce("made", F.lit(""))).withColumn("successful", F.coalesce(F.col("grade") >= 100, F.lit(False))).drop("made", "ended")
+    rows = rows.withColumns({"code": F.coalesce("made", F.lit("")), "successful": F.coalesce(F.col("grade") >= 100, F.lit(False)), "over_budget": F.coalesce("over_budget", F.lit(False))})
+    return rows.drop("made", "ended")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..plans import rollout as P
-from .fixtures import KEYS, steps, table
+from ..plans.grading import grade_programs
+from .fixtures import KEYS, ROLLOUT, steps, table
 from .registry import query
 
 
@@ -74,23 +75,53 @@ def reconstruct(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.udf("reconstruct")(F.array(first, second)).alias("code"))
 
 
-@query("SELECT n_nationkey, n_name AS best FROM nation")
+@query("""SELECT s_suppkey, n_name AS best FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def closest_name(spark, sf_dir):
+    """Of all names of a region the one closest to a worn name: a letter exchanged, one added."""
     nations = table(spark, sf_dir, "nation")
-    names = F.array(*(F.lit(r["n_name"]) for r in nations.select("n_name").orderBy("n_name").limit(100).collect()))
-    return nations.select("n_nationkey", C.udf("closest")(F.concat("n_name", F.lit("x")), names).alias("best"))
+    names = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_set("n_name")).alias("names"))
+    rows = table(spark, sf_dir, "supplier").join(nations.join(names, "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select("s_suppkey", C.udf("closest")(F.concat(F.translate("n_name", "E", "3"), F.lit("x")), "names").alias("best"))
 
 
-@query()
-def rollout_loop(spark, sf_dir):
-    """A rollout with a deterministic stand-in for a model: it repeats its last code, plus one."""
+def _rollout(spark, sf_dir, predict, **more):
     s = steps(spark, sf_dir)
     opening = s.where("seq = 1").select(*KEYS, F.lit(0).alias("pos"), F.lit("system").alias("role"), F.lit("Go").alias("content"))
     said = s.select(*KEYS, (2 * F.col("seq")).cast("int").alias("pos"), F.lit("assistant").alias("role"), F.concat(F.lit("```python\n"), F.col("code"), F.lit("\n```")).alias("content"))
+    grade = P.by_column(lambda code: F.least(code.try_cast("double") * 2, F.lit(100.0)))
+    return P.rollout(s, opening.unionByName(said), KEYS, predict, grade, rounds=3, **more)
+
+
+@query(f"""WITH {ROLLOUT}, base AS (
+  SELECT g.user_id, g.problem_id, g.k, g.step, t.code AS student_code, t.grade AS student_grade, b.code::BIGINT AS first FROM grid g
+  JOIN steps t ON t.user_id = g.user_id AND t.problem_id = g.problem_id AND t.seq = g.k + g.step - 1
+  JOIN steps b ON b.user_id = g.user_id AND b.problem_id = g.problem_id AND b.seq = g.k - 1 WHERE g.step <= 3),
+alive AS (SELECT *, step = 1 OR (first + step - 1) * 2 < 100 AS live FROM base)
+SELECT user_id, problem_id, k::INTEGER AS k, step::INTEGER AS step, CASE WHEN live THEN (first + step)::VARCHAR ELSE '' END AS code, CASE WHEN live THEN least((first + step) * 2, 100)::DOUBLE END AS grade,
+  student_code, student_grade, CASE WHEN live THEN 'generation' ELSE 'recording' END AS mode, live AND (first + step) * 2 >= 100 AS successful FROM alive""")
+def rollout_loop(spark, sf_dir):
+    """A rollout with a deterministic stand-in for a model: its last program, plus one."""
 
     def predict(conversations: list[list[dict]]) -> list[str]:
-        return [f"```python\n{int(''.join(c for c in ms[-1]['content'] if c.isdigit()) or 0) + 1}\n```" for ms in conversations]
+        last = [[m["content"] for m in ms if m["role"] == "assistant"][-1] for ms in conversations]
+        return [f"```python\n{int(''.join(c for c in text if c.isdigit()) or 0) + 1}\n```" for text in last]
 
-    grade = lambda code: F.least(code.try_cast("double") * 10, F.lit(100.0))
-    out = P.rollout(s, opening.unionByName(said), KEYS, predict, grade, rounds=3)
+    out = _rollout(spark, sf_dir, predict)
     return out.select(*KEYS, "k", "step", "code", "grade", "student_code", "student_grade", "mode", "successful")
+
+
+@query(f"WITH {ROLLOUT} SELECT user_id, problem_id, k::INTEGER AS k, step::INTEGER AS step, '' AS code, step = 1 AND k > 2 AS over_budget FROM grid WHERE step <= 3")
+def rollout_budget(spark, sf_dir):
+    """Each turn costs one; the two first turns and the last one reach the budget and end their
+    task, whose rows stay.  The stand-in's answers are empty, so every other task ends as well."""
+    out = _rollout(spark, sf_dir, lambda conversations: ["```python\n```" for _ in conversations], budget=3, tokens=lambda content: F.lit(1))
+    return out.select(*KEYS, "k", "step", "code", "over_budget")
+
+
+@query("SELECT n_nationkey, n_nationkey::DOUBLE AS grade, n_name AS said FROM nation")
+def grade_run(spark, sf_dir):
+    """Programs run in processes of their own: each prints its nation's name, its test compares."""
+    number = F.col("n_nationkey").cast("string")
+    test = F.concat(F.lit("score = "), number, F.lit(" if program_output == '"), F.col("n_name"), F.lit("' else -1"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("print('"), F.col("n_name"), F.lit("', end='')")).alias("code"), test.alias("testcase"))
+    return grade_programs(rows, ["n_nationkey"]).select("n_nationkey", F.col("new_grade").alias("grade"), F.col("output").alias("said"))

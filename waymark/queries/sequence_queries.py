@@ -86,12 +86,23 @@ def pairs_temporal_relaxed(spark, sf_dir):
     return W.temporal_pairs(steps(spark, sf_dir), KEYS, seed="s")
 
 
-@query()
+_GREEDY = STEPS + """, walk AS (
+  SELECT user_id, problem_id, 0 AS seq, []::INTEGER[] AS used, NULL::INTEGER AS rejected FROM steps WHERE seq = 1
+  UNION ALL
+  SELECT w.user_id, w.problem_id, c.seq, CASE WHEN p.rejected IS NULL THEN w.used ELSE list_append(w.used, p.rejected) END, p.rejected
+  FROM walk w JOIN steps c ON c.user_id = w.user_id AND c.problem_id = w.problem_id AND c.seq = w.seq + 1
+  LEFT JOIN LATERAL (%s) p ON true
+) SELECT user_id, problem_id, seq, rejected AS rejected_seq FROM walk WHERE rejected IS NOT NULL"""
+_GRADE = "SELECT CASE WHEN arg_min(r.code_hash, r.seq) <> c.code_hash THEN min(r.seq) END AS rejected FROM steps r WHERE r.user_id = c.user_id AND r.problem_id = c.problem_id AND r.seq > c.seq AND r.grade <> c.grade AND NOT list_contains(w.used, r.seq)"
+_TEMPORAL = "SELECT min(r.seq) AS rejected FROM steps r WHERE r.user_id = c.user_id AND r.problem_id = c.problem_id AND r.seq >= c.seq + 3 AND r.code_hash <> c.code_hash AND NOT list_contains(w.used, r.seq)"
+
+
+@query(f"WITH RECURSIVE {_GREEDY % _GRADE}")
 def pairs_grade_greedy(spark, sf_dir):
     return W.greedy_pairs(steps(spark, sf_dir), KEYS, "grade")
 
 
-@query()
+@query(f"WITH RECURSIVE {_GREEDY % _TEMPORAL}")
 def pairs_temporal_greedy(spark, sf_dir):
     return W.greedy_pairs(steps(spark, sf_dir), KEYS, "temporal")
 
