@@ -6,11 +6,15 @@ codes that differ in at most CHUNKS - 2 bits always share a table, others with a
 probability that the recall test measures.  Pairs that share a table are compared by the
 cosine of the original vectors in double precision.
 
-* Equal vectors of a label are one class; copies are counted, not paired.
+* Equal vectors of a label are one class, told by 128 bits of hashes; copies are counted,
+  not paired, and only a class's vector is moved, in the type that it came in.
 * A pair is compared only in the first table that it shares.
-* A bucket is cut into tiles of about TILE vectors a side, each a task's group of rows at
-  most; a tile is one matrix product and returns a count for each vector and edges that
+* A bucket is cut into tiles of about TILE codes a side, each a task's group of rows at most.
+  Tiles of codes come first: only vectors with another within NEAR bits go on to tiles of
+  vectors.  A tile is one matrix product and returns a count for each vector and edges that
   span its components, never its pairs.  No bucket is capped.
+* With many vectors a label, ``of`` = 3 keys the tables by three chunks (56 tables of 24
+  bits): shorter buckets for twice the rows.
 
 Defined results: a vector that is null, zero or holds null or non-finite components, and
 one whose label or id is null, links with nothing; vectors of different length don't link;
@@ -20,6 +24,7 @@ null id is null and it isn't kept.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +37,8 @@ from .session import cut, prepare
 
 BITS, CHUNKS = 64, 8
 WIDTH = BITS // CHUNKS
-TABLES = list(combinations(range(CHUNKS), 2))
+#: Bits in which the codes of a pair may differ: at a cosine of 0.98 they differ in 4 on average.
+NEAR = 18
 THRESHOLD = 0.98
 SAMPLE, ROUNDS, TILE = 20_000, 30, 512
 #: ``link`` at the defaults as DuckDB SQL.
@@ -84,13 +90,17 @@ def codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.n
     return (bits.astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def _first_table(differ: np.ndarray) -> np.ndarray:
+def tables(of: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(CHUNKS), of))
+
+
+def _first_table(differ: np.ndarray, of: int) -> np.ndarray:
     """Index of the first table two codes share, from the bits in which they differ."""
     clean = np.stack([(differ >> np.uint64(WIDTH * c)) & np.uint64((1 << WIDTH) - 1) for c in range(CHUNKS)]) == 0
     out = np.full(differ.shape, -1, dtype=np.int16)
-    for t in range(len(TABLES) - 1, -1, -1):
-        i, j = TABLES[t]
-        out[clean[i] & clean[j]] = t
+    known = tables(of)
+    for t in range(len(known) - 1, -1, -1):
+        out[clean[list(known[t])].all(axis=0)] = t
     return out
 
 
@@ -106,7 +116,7 @@ def _spanning(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _tile(ids, sizes, code, unit, side, same, table, threshold):
+def _tile(ids, sizes, code, unit, side, same, table, threshold, of):
     """(per-vector counts of linked vectors, edges) of one tile."""
     if same:
         a = b = np.arange(len(ids))
@@ -116,7 +126,7 @@ def _tile(ids, sizes, code, unit, side, same, table, threshold):
     if same:
         np.fill_diagonal(linked, False)
     x, y = np.nonzero(linked)
-    good = _first_table(code[a[x]] ^ code[b[y]]) == table
+    good = _first_table(code[a[x]] ^ code[b[y]], of) == table
     x, y = a[x[good]], b[y[good]]
     counts = np.bincount(x, sizes[y], len(ids))
     if not same:
@@ -129,21 +139,53 @@ def _tile(ids, sizes, code, unit, side, same, table, threshold):
     return counts, ids[touched], ids[touched[label]] if len(touched) else touched
 
 
-def _compare(threshold: float):
+def _by_bucket(batches):
+    """Tables of whole buckets, of batches sorted by bucket."""
+    held: list[pa.Table] = []
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        keys = b.column(0).to_numpy()
+        if held[0]["bucket"][0].as_py() != keys[-1]:
+            now = pa.concat_tables(held)
+            last = now.num_rows - int(np.argmin((keys == keys[-1])[::-1])) if (keys != keys[-1]).any() else now.num_rows - len(keys)
+            yield now.slice(0, last)
+            held = [now.slice(last)]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _bounds(bucket: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+
+
+def _candidates(of: int):
+    """Of tiles of codes the rows that have another within NEAR bits, first met in this table."""
+
+    def run(batches):
+        for rows in _by_bucket(batches):
+            bucket, code, side, same, table = (rows[c].combine_chunks().to_numpy() for c in ("bucket", "code", "side", "same", "table"))
+            code, keep, cuts = code.view(np.uint64), np.zeros(rows.num_rows, dtype=bool), _bounds(bucket)
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                left = np.arange(lo, hi) if same[lo] else lo + np.flatnonzero(side[lo:hi] == 0)
+                right = left if same[lo] else lo + np.flatnonzero(side[lo:hi] == 1)
+                for i in range(0, len(left), TILE):  # hashing may deal a side more than TILE
+                    own = left[i : i + TILE]
+                    near = np.bitwise_count(code[own][:, None] ^ code[right][None, :]) <= NEAR
+                    near &= own[:, None] != right[None, :]
+                    x, y = np.nonzero(near)
+                    good = _first_table(code[own[x]] ^ code[right[y]], of) == table[lo]
+                    keep[own[x[good]]] = keep[right[y[good]]] = True
+            yield from rows.select(["bucket", "id", "side", "same", "table"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
+def _compare(threshold: float, of: int):
     columns = ["bucket", "id", "size", "code", "side", "same", "table", "vector"]
 
     def run(batches):
-        held: list[pa.Table] = []
-        for b in batches:
-            held.append(pa.Table.from_batches([b]))
-            now = pa.concat_tables(held)
-            keys = now["bucket"].to_numpy()
-            last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
-            if last:
-                yield from work(now.slice(0, last))
-                held = [now.slice(last)]
-        if held:
-            yield from work(pa.concat_tables(held))
+        for rows in _by_bucket(batches):
+            yield from work(rows)
 
     def work(rows: pa.Table):
         if not rows.num_rows:
@@ -153,14 +195,14 @@ def _compare(threshold: float):
         width = np.diff(flat.offsets.to_numpy())
         values = flat.flatten().to_numpy()
         begin = np.concatenate(([0], np.cumsum(width)))
-        cuts = np.flatnonzero(np.concatenate(([True], get["bucket"][1:] != get["bucket"][:-1], [True])))
+        cuts = _bounds(get["bucket"])
         ids, counts, ends, starts = [], [], [], []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if hi - lo < 2:
                 continue
             unit = values[begin[lo] : begin[hi]].reshape(hi - lo, -1).astype(np.float64)
             unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
-            n, end, start = _tile(get["id"][lo:hi], get["size"][lo:hi], get["code"][lo:hi].view(np.uint64), unit, get["side"][lo:hi], bool(get["same"][lo]), get["table"][lo], threshold)
+            n, end, start = _tile(get["id"][lo:hi], get["size"][lo:hi], get["code"][lo:hi].view(np.uint64), unit, get["side"][lo:hi], bool(get["same"][lo]), get["table"][lo], threshold, of)
             some = n > 0
             ids.append(get["id"][lo:hi][some])
             counts.append(n[some].astype(np.int64))
@@ -174,21 +216,25 @@ def _compare(threshold: float):
     return run
 
 
-def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = SAMPLE) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = SAMPLE, of: int = 2) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each input row."""
     spark = prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).cast("string").alias("label"))
     sound = F.col("vector").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     sound &= ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = cut(rows.withColumn("sound", F.coalesce(sound, F.lit(False))), 5_000)
-    classes = cut(rows.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")).withColumn("dim", F.size("vector")), 5_000)
+    same = [F.size("vector").alias("dim"), F.xxhash64("vector").alias("one"), F.xxhash64(F.lit("two"), "vector").alias("two")]
+    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    thin = cut(rows.select("vec_id", "label", "sound", *same))
+    by = ["label", "dim", "one", "two"]
+    classes = rows.where("sound").select("vec_id", "label", "vector", *same).groupBy(*by).agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("vector").alias("vector"))
 
-    chosen = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector", "dim").toArrow()
+    chosen = rows.where("sound").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector", F.size("vector").alias("dim")).toArrow()
     dims = chosen["dim"].to_numpy()
     learned = {}
     for d in np.unique(dims).tolist():
-        flat = chosen.filter(pa.array(dims == d))["vector"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-        learned[d] = learn(flat / np.linalg.norm(flat, axis=1)[:, None])
+        flat = chosen.filter(pa.array(dims == d))["vector"].combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float64)
+        learned[d] = learn(np.unique(flat, axis=0) / np.linalg.norm(np.unique(flat, axis=0), axis=1)[:, None])
     shared = spark.sparkContext.broadcast(learned)
 
     def encode(batches):
@@ -198,28 +244,33 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
             begin, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
-                x = np.stack([values[begin[i] : begin[i + 1]] for i in at])
+                x = np.stack([values[begin[i] : begin[i + 1]] for i in at]).astype(np.float64)
                 mean, projection = shared.value.get(int(d)) or learn(np.eye(int(d)))
                 out[at] = codes(x / np.linalg.norm(x, axis=1)[:, None], mean, projection)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(1), b.column(4), pa.array(out.view(np.int64)), lists], ["id", "label", "dim", "size", "code", "vector"])
 
-    coded = cut(classes.select("id", "dim", "vector", "label", "size").mapInArrow(encode, "id long, label string, dim int, size long, code long, vector array<double>"), 5_000)
+    # the classes' own columns are kept beside the code; a vector is shuffled and written once
+    coded = classes.select("id", "dim", "vector", "label", "size").mapInArrow(encode, f"id long, label string, dim int, size long, code long, vector {kind}")
+    coded = cut(coded, 20_000)
+    shared.destroy()
     chunk = lambda c: F.shiftrightunsigned("code", WIDTH * c).bitwiseAND((1 << WIDTH) - 1)
-    keys = F.array(*(F.shiftleft(chunk(i), WIDTH) + chunk(j) for i, j in TABLES))
-    placed = coded.select("id", "label", "dim", F.posexplode(keys).alias("table", "value"))
-    placed = placed.select("id", F.xxhash64("label", "dim", "table", "value").alias("key"), F.col("table").cast("int").alias("table"))
+    keys = F.array(*(sum((F.shiftleft(chunk(c), WIDTH * at) for at, c in enumerate(chunks)), F.lit(0).cast("long")) for chunks in tables(of)))
+    placed = coded.select("id", "code", "label", "dim", F.posexplode(keys).alias("table", "value"))
+    placed = placed.select("id", "code", F.xxhash64("label", "dim", "table", "value").alias("key"), F.col("table").cast("int").alias("table"))
     shared_keys = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("sides", F.ceil(F.col("c") / TILE).cast("int"))
     members = placed.join(shared_keys, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), "sides").cast("int"))
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    tiles = tiles.select("id", "table", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), (F.col("own") == F.col("other")).alias("same"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    full = tiles.join(coded.select("id", "size", "code", "vector"), "id").select("bucket", "id", "size", "code", "side", F.col("same").cast("int").alias("same"), "table", "vector")
-    found = cut(full.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_compare(threshold), "id long, links long, other long"))
+    tiles = tiles.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "id", "code", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).cast("int").alias("same"), "table")
+    near = tiles.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_candidates(of), "bucket long, id long, side int, same int, table int")
+    full = near.join(coded.select("id", "size", "code", "vector"), "id").select("bucket", "id", "size", "code", "side", "same", "table", "vector")
+    found = cut(full.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_compare(threshold, of), "id long, links long, other long"))
 
     near = found.groupBy("id").agg(F.sum("links").alias("links"))
-    tie = rows.where("sound").join(classes.select("label", "vector", "id"), ["label", "vector"]).groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    classes = cut(thin.where("sound").groupBy(*by).agg(F.min("vec_id").alias("id"), F.count("*").alias("size")))
+    tie = thin.where("sound").join(classes.select(*by, "id"), by).groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     linked = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(tie.select("a", "b")))
     known = classes.join(near, "id", "left").join(linked.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "id").alias("_component"))
-    out = rows.join(known, F.col("sound") & (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector")), "left")
+    known = known.select(*(F.col(c).alias(f"_{c}") for c in by), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "id").alias("_component"))
+    out = thin.join(known, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in by), F.col("sound")), "left")
     component = F.coalesce("_component", "vec_id")
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
