@@ -14,7 +14,7 @@ A pair of similarity s meets in some table with probability (1 - (1 - s**3)**10)
   Classes of one hub are compared with each other exactly, in tiles of bounded size that
   return edges spanning their links, never pairs: thousands of near copies make no pairs.
 * Pairs that share a bucket but no hub are compared one by one, unless a chain of links
-  joins them already.  Links are confirmed on full sets throughout; nothing is capped.
+  joins them already; a bucket with more than PAIRED such classes is compared in tiles, too.  Links are confirmed on full sets throughout; nothing is capped.
 
 Defined results: a text without words (or null) has an empty set and links with
 nothing; fewer than SHINGLE words make one shingle; rows with equal ids are one document
@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 5, 80
 ROWS, GROUPS = 3, 10
 #: Size of a tile's side, and columns of its incidence matrices at a time.
 TILE_ROWS, TILE_SHINGLES, VOCABULARY = 512, 400_000, 2048
+#: Classes of a bucket up to which its pairs are formed.
+PAIRED = 64
 #: ``near_duplicates`` with shingle=4 as DuckDB SQL.
 ORACLE_SQL = r"""
 WITH RECURSIVE words AS (
@@ -264,6 +266,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("own").alias("one"), F.max("own").alias("two"))
     rest = cut(placed.join(torn.where("low < high and one < two").select("key"), "key", "left_semi"))
+    wide = cut(rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > PAIRED).select("key"))
+    tiled = bool(wide.take(1))
+    buckets_of_many = rest.join(wide, "key", "left_semi").select(F.col("key").alias("hub"), "id", "n")
+    rest = rest.join(wide, "key", "left_anti") if tiled else rest
     other = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("own").alias("own2"))
     across = rest.select("key", F.col("id").alias("a"), F.col("n").alias("n1"), "component", "own").join(other, "key")
     across = across.where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & near_enough("n1", "n2", percent))
@@ -271,6 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = across.select("a", "b", F.col("n1").alias("m"), F.col("n2").alias("n")).distinct()
     second = confirmed(across, sets, percent)
     links = first.unionByName(second)
+    if tiled:
+        links = links.unionByName(within_hubs(buckets_of_many, sets, percent))
     # rows with one id but different texts tie their classes together
     own = ["n_shingles", "set_a", "set_b"]
     texts = usable.select("doc_id", *own).distinct()

@@ -115,8 +115,10 @@ def _obfuscated(words: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[n
     first = near[np.concatenate(([True], near[1:] != near[:-1] + 1))] if len(near) else near
     if not len(first):
         return count, hidden
-    begin, blanks = words.start[first], np.flatnonzero(_SPACE[words.lower])
-    end = blanks[np.searchsorted(blanks, begin)]  # the chunk ends with a line feed
+    blanks = np.concatenate(([-1], np.flatnonzero(_SPACE[words.lower])))
+    at = np.searchsorted(blanks, words.start[first])
+    end = blanks[at]  # the chunk ends with a line feed
+    begin = np.maximum(blanks[at - 1] + 1, np.where(first > 0, words.stop[first - 1], 0))  # with what stands right before
     owner = words.owner[first]
     count += np.bincount(owner, minlength=words.n)
     for read in (_PLAIN[words.lower], words.lower):
@@ -227,12 +229,13 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: (scores, calibrated values) to interpolate between."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        blocks.append([v, 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
+    """Pool adjacent violators: (scores, calibrated values) to interpolate between.  Rows of
+    one score are pooled first."""
+    points, at = np.unique(score, return_inverse=True)
+    blocks: list[list[float]] = []  # sum, rows, least and greatest score
+    for s, v, n in zip(points.tolist(), np.bincount(at, y, len(points)).tolist(), np.bincount(at, minlength=len(points)).tolist()):
+        blocks.append([v, n, s, s])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             v2, n2, _, high = blocks.pop()
             blocks[-1] = [blocks[-1][0] + v2, blocks[-1][1] + n2, blocks[-1][2], high]
     xs = [x for b in blocks for x in b[2:4]]
