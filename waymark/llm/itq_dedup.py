@@ -39,6 +39,8 @@ BITS, CHUNKS = 64, 8
 WIDTH = BITS // CHUNKS
 #: Bits in which the codes of a pair may differ: at a cosine of 0.98 they differ in 4 on average.
 NEAR = 18
+#: Rows of a bucket up to which buckets are compared together.
+LITTLE = 16
 THRESHOLD = 0.98
 SAMPLE, ROUNDS, TILE = 20_000, 30, 512
 #: ``link`` at the defaults as DuckDB SQL.
@@ -165,7 +167,15 @@ def _candidates(of: int):
         for rows in _by_bucket(batches):
             bucket, code, side, same, table = (rows[c].combine_chunks().to_numpy() for c in ("bucket", "code", "side", "same", "table"))
             code, keep, cuts = code.view(np.uint64), np.zeros(rows.num_rows, dtype=bool), _bounds(bucket)
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
+            size = np.diff(cuts)
+            little = np.repeat((size <= LITTLE) & (same[cuts[:-1]] == 1), size)
+            for apart in range(1, LITTLE):  # all small buckets at once: each row and the one so far behind
+                x = np.flatnonzero(little[:-apart] & (bucket[:-apart] == bucket[apart:]))
+                x = x[np.bitwise_count(code[x] ^ code[x + apart]) <= NEAR]
+                x = x[_first_table(code[x] ^ code[x + apart], of) == table[x]]
+                keep[x] = keep[x + apart] = True
+            wide = np.flatnonzero(~little[cuts[:-1]])
+            for lo, hi in zip(cuts[wide], cuts[wide + 1]):
                 left = np.arange(lo, hi) if same[lo] else lo + np.flatnonzero(side[lo:hi] == 0)
                 right = left if same[lo] else lo + np.flatnonzero(side[lo:hi] == 1)
                 for i in range(0, len(left), TILE):  # hashing may deal a side more than TILE
