@@ -35,7 +35,8 @@ def last_value(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[s
 
 
 def having_last_at_least(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], least: float) -> DataFrame:
-    """All rows of the groups whose last value reaches ``least``; a group whose last is null goes."""
+    """All rows of the groups whose last value reaches ``least``; a group whose last is null goes,
+    and so do rows with a null key."""
     return df.join(last_value(df, keys, value, order).where(F.col(value) >= least), list(keys), "left_semi")
 
 
@@ -45,7 +46,8 @@ def not_mentioning(df: DataFrame, columns: Sequence[str], text: str) -> DataFram
 
 
 def canonical_variant(df: DataFrame, group: str, variant: str) -> DataFrame:
-    """Rows with the most frequent variant of their group, the least of several."""
+    """Rows with the most frequent variant of their group, the least of several; rows with a
+    null group or variant go."""
     best = variants(df, group, variant)
     return df.join(best, [group, variant], "left_semi")
 
@@ -65,23 +67,23 @@ def without_outliers(df: DataFrame, group: str, value: str, limit: float = 3.5)
 
     A group with MAD 0 is kept whole; a null value is kept.
     """
-    middle = df.groupBy(group).agg(F.median(value).alias("_median"))
-    off = F.abs(F.col(value) - F.col("_median"))
-    near = df.join(middle, df[group].eqNullSafe(middle[group])).drop(middle[group]).withColumn("_off", off)
-    spread = near.groupBy(group).agg(F.median("_off").alias("_mad"))
+    middle = df.groupBy(group).agg(F.median(value).alias("_waymark_median"))
+    off = F.abs(F.col(value) - F.col("_waymark_median"))
+    near = df.join(middle, df[group].eqNullSafe(middle[group])).drop(middle[group]).withColumn("_waymark_off", off)
+    spread = near.groupBy(group).agg(F.median("_waymark_off").alias("_waymark_mad"))
     out = near.join(spread, near[group].eqNullSafe(spread[group])).drop(spread[group])
-    fine = (F.col("_mad") == 0) | (F.lit(0.6745) * F.col("_off") / F.col("_mad") <= limit)
-    return out.where(F.coalesce(fine, F.lit(True))).drop("_median", "_off", "_mad")
+    fine = (F.col("_waymark_mad") == 0) | (F.lit(0.6745) * F.col("_waymark_off") / F.col("_waymark_mad") <= limit)
+    return out.where(F.coalesce(fine, F.lit(True))).drop("_waymark_median", "_waymark_off", "_waymark_mad")
 
 
 def at_least(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Rows of groups of n rows or more."""
-    return df.join(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= n), list(keys), "left_semi")
+    """Rows of groups of n rows or more; rows with a null key go."""
+    return df.join(df.groupBy(*keys).agg(F.count("*").alias("_waymark_n")).where(F.col("_waymark_n") >= n), list(keys), "left_semi")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row of each key, the first in order."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    return df.withColumn("_waymark_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_waymark_rank = 1").drop("_waymark_rank")
 
 
 def lookup_first(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -106,10 +108,10 @@ def split_groups(df: DataFrame, key: str, percent: float, seed: str = "") -> Dat
     each range's rows are numbered after those of the ranges before it.
     """
     groups = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ranked = number_rows(groups.withColumn("_hash", hash_order(key, seed=seed)), ["_hash", key], "_rank")
+    ranked = number_rows(groups.withColumn("_waymark_hash", hash_order(key, seed=seed)), ["_waymark_hash", key], "_waymark_rank")
     limit = math.floor(groups.count() * percent / 100)
-    chosen = ranked.where(F.col("_rank") <= limit).select(F.col(key).alias("_val"))
-    return df.join(chosen, df[key] == F.col("_val"), "left").withColumn("split", F.when(F.col("_val").isNotNull(), "val").otherwise("train")).drop("_val")
+    chosen = ranked.where(F.col("_waymark_rank") <= limit).select(F.col(key).alias("_waymark_val"))
+    return df.join(chosen, df[key] == F.col("_waymark_val"), "left").withColumn("split", F.when(F.col("_waymark_val").isNotNull(), "val").otherwise("train")).drop("_waymark_val")
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -119,18 +121,18 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     gives each its start: no single task sees all rows.
     """
     # checkpointed: the ranges are sampled, and another evaluation might place a row elsewhere
-    spread = reliable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    starts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    out = spread.withColumn("_inner", inner).join(F.broadcast(starts), "_part")
-    return out.withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before")
+    spread = reliable(df.repartitionByRange(*order).withColumn("_waymark_part", F.spark_partition_id()))
+    starts = spread.groupBy("_waymark_part").agg(F.count("*").alias("_waymark_n"))
+    before = F.sum("_waymark_n").over(Window.orderBy("_waymark_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select("_waymark_part", F.coalesce(before, F.lit(0)).alias("_waymark_before"))
+    inner = F.row_number().over(Window.partitionBy("_waymark_part").orderBy(*order))
+    out = spread.withColumn("_waymark_inner", inner).join(F.broadcast(starts), "_waymark_part")
+    return out.withColumn(name, F.col("_waymark_before") + F.col("_waymark_inner")).drop("_waymark_part", "_waymark_inner", "_waymark_before")
 
 
 def cap_per_group(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Column | str]) -> DataFrame:
     """At most n rows of each group, the first in order."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+    return df.withColumn("_waymark_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_waymark_rank") <= n).drop("_waymark_rank")
 
 
 def in_listed_order(df: DataFrame, column: str, listed: Sequence[str]) -> DataFrame:

@@ -52,11 +52,11 @@ def degradation(by_k: DataFrame, keys: Sequence[str], metrics: Sequence[str], la
     Where a key has several rows of one k, the first by all other columns counts.
     """
     rest = [c for c in by_k.columns if c not in (*keys, "k")]
-    first = by_k.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "k").orderBy(*rest))).where("_rank = 1").drop("_rank")
+    first = by_k.withColumn("_waymark_rank", F.row_number().over(Window.partitionBy(*keys, "k").orderBy(*rest))).where("_waymark_rank = 1").drop("_waymark_rank")
     w = Window.partitionBy(*keys)
-    rows = first.withColumns({f"_{m}": F.max(F.when(F.col("k") == 1, F.col(m))).over(w) for m in metrics}).withColumn("_one", F.max((F.col("k") == 1).cast("int")).over(w))
+    rows = first.withColumns({f"_waymark_{m}": F.max(F.when(F.col("k") == 1, F.col(m))).over(w) for m in metrics}).withColumn("_waymark_one", F.max((F.col("k") == 1).cast("int")).over(w))
     later = F.col("k").between(2, last)
-    return rows.where("_one = 1").groupBy(*keys).agg(*(F.avg(F.when(later, F.col(m) - F.col(f"_{m}"))).alias(f"delta_{m}") for m in metrics))
+    return rows.where("_waymark_one = 1").groupBy(*keys).agg(*(F.avg(F.when(later, F.col(m) - F.col(f"_waymark_{m}"))).alias(f"delta_{m}") for m in metrics))
 
 
 def averaged_with_degradation(by_k: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -69,7 +69,7 @@ def stratified(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], fla
     out = []
     for m in metrics:
         whole = F.avg(m)
-        out.append(round3(whole).alias(f"{m}_all"))
+        out.append(round3(whole).alias(f"{m}_waymark_all"))
         for name, value in (("solved", True), ("unsolved", False)):
             part = F.avg(F.when(F.col(flag) == F.lit(value), F.col(m)))
             out.append(round3(F.when(known == 0, whole).otherwise(part)).alias(f"{m}_{name}"))

@@ -31,20 +31,20 @@ def without_repeats(steps: DataFrame, keys: Keys, code_hash: str = "code_hash",
     and number the others anew.  A dropped step equals the last kept one, so looking at the
     row before is enough."""
     before = F.lag(code_hash, 1, empty_hash).over(_over(keys))
-    kept = steps.withColumn("_before", before).where(~F.col(code_hash).eqNullSafe(F.col("_before"))).drop("_before")
+    kept = steps.withColumn("_waymark_before", before).where(~F.col(code_hash).eqNullSafe(F.col("_waymark_before"))).drop("_waymark_before")
     return kept.withColumn("seq", F.row_number().over(_over(keys)))
 
 
 def until_success(steps: DataFrame, keys: Keys, success: Column) -> DataFrame:
     """Steps up to and including the first success."""
     won = F.sum(F.coalesce(success, F.lit(False)).cast("int")).over(_over(keys).rowsBetween(Window.unboundedPreceding, -1))
-    return steps.withColumn("_won", F.coalesce(won, F.lit(0))).where("_won = 0").drop("_won")
+    return steps.withColumn("_waymark_won", F.coalesce(won, F.lit(0))).where("_waymark_won = 0").drop("_waymark_won")
 
 
 def without_mismatch(steps: DataFrame, keys: Keys, recorded: str, regraded: str) -> DataFrame:
     """Drop whole trajectories in which a known recorded grade differs from the new one."""
     off = F.coalesce(~F.isnan(F.col(recorded).cast("double")) & (F.col(recorded) != F.col(regraded)), F.lit(False))
-    return steps.withColumn("_off", F.max(off.cast("int")).over(Window.partitionBy(*keys))).where("_off = 0").drop("_off")
+    return steps.withColumn("_waymark_off", F.max(off.cast("int")).over(Window.partitionBy(*keys))).where("_waymark_off = 0").drop("_waymark_off")
 
 
 def grade_changed(keys: Keys, grade: str = "grade") -> Column:
@@ -82,8 +82,8 @@ def with_previous(steps: DataFrame, keys: Keys, code: str = "code") -> DataFrame
 def next_pairs(steps: DataFrame, keys: Keys, code: str = "code", code_hash: str = "code_hash", first: int = 2, ahead: int = 2) -> DataFrame:
     """Chosen: a step from the second on; rejected: the one two later, of another hash."""
     w = _over(keys)
-    ends = steps.withColumn("rejected_seq", F.lead("seq", ahead).over(w)).withColumn("rejected", F.lead(code, ahead).over(w)).withColumn("_hash", F.lead(code_hash, ahead).over(w))
-    return ends.where((F.col("seq") >= first) & F.col("rejected_seq").isNotNull() & (F.col(code_hash) != F.col("_hash"))).drop("_hash")
+    ends = steps.withColumn("rejected_seq", F.lead("seq", ahead).over(w)).withColumn("rejected", F.lead(code, ahead).over(w)).withColumn("_waymark_hash", F.lead(code_hash, ahead).over(w))
+    return ends.where((F.col("seq") >= first) & F.col("rejected_seq").isNotNull() & (F.col(code_hash) != F.col("_waymark_hash"))).drop("_waymark_hash")
 
 
 def later_pairs(steps: DataFrame, keys: Keys, condition: Column, pick: Column, first: int = 1) -> DataFrame:
@@ -100,9 +100,15 @@ def later_pairs(steps: DataFrame, keys: Keys, condition: Column, pick: Column, f
 
 
 def grade_pairs(steps: DataFrame, keys: Keys, grade: str = "grade") -> DataFrame:
-    """Rejected: the first later step of another known grade."""
-    differ = F.col(f"r.{grade}").isNotNull() & (F.col(f"r.{grade}") != F.col(f"c.{grade}"))
-    return later_pairs(steps, keys, differ, F.col("r.seq"))
+    """Rejected: the first later step of another known grade.
+
+    Among steps of known grade that is where the next run of equal grades begins, so two
+    windows of one partitioning find it and no step meets another.
+    """
+    known = steps.where(F.col(grade).isNotNull()).select(*keys, "seq", F.when(F.lag(grade).over(_over(keys)) != F.col(grade), F.col("seq")).alias("_waymark_start"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = known.withColumn("rejected_seq", F.last("_waymark_start", ignorenulls=True).over(later))
+    return ends.where(F.col("rejected_seq").isNotNull()).drop("_waymark_start")
 
 
 def temporal_pairs(steps: DataFrame, keys: Keys, code_hash: str = "code_hash", distance: int = 3, seed: str = "") -> DataFrame:
@@ -157,7 +163,7 @@ def greedy_pairs(steps: DataFrame, keys: Keys, kind: str = "grade", grade: str =
 def with_remaining(steps: DataFrame, keys: Keys, code: str = "code", grade: str = "grade") -> DataFrame:
     """Each step with the codes and grades of all later ones."""
     rest = F.collect_list(F.struct(F.col(code).alias("code"), F.col(grade).alias("grade"))).over(_over(keys).rowsBetween(1, Window.unboundedFollowing))
-    return steps.withColumn("_rest", rest).withColumn("remaining_codes", F.col("_rest.code")).withColumn("remaining_grades", F.col("_rest.grade")).drop("_rest")
+    return steps.withColumn("_waymark_rest", rest).withColumn("remaining_codes", F.col("_waymark_rest.code")).withColumn("remaining_grades", F.col("_waymark_rest.grade")).drop("_waymark_rest")
 
 
 def prefix(messages: Column, length: Column) -> Column:
@@ -180,16 +186,16 @@ def truncate_left(turns: DataFrame, keys: Keys, budget: int, tokens: Column, pos
     """
     w = Window.partitionBy(*keys)
     up, down = w.orderBy(F.col(pos)), w.orderBy(F.desc(pos))
-    rows = turns.withColumn("_tok", tokens).withColumn("_first_user", F.min(F.when(F.col(role) == "user", F.col(pos))).over(w)).withColumn("_place", F.row_number().over(up))
-    leads = F.min(F.when((F.col("_place") == 1) & (F.col(role) == "system"), F.col(pos))).over(w)
-    last = F.coalesce(F.col("_first_user"), leads)
-    rows = rows.withColumn("_open", F.coalesce(F.col(pos) <= last, F.lit(False)) & ((F.col(role) == "user") | ((F.col(role) == "system") & (F.col("_place") == 1)) | F.col("_first_user").isNotNull()))
-    rows = rows.withColumn("_opening", F.sum(F.when(F.col("_open"), F.col("_tok")).otherwise(0)).over(w)).withColumn("_all", F.sum("_tok").over(w)).withColumn("_suffix", F.sum("_tok").over(down))
-    start = F.min(F.when(~F.col("_open") & (F.col(role) == "assistant") & (F.col("_opening") + F.col("_suffix") <= budget), F.col(pos))).over(w)
-    whole = F.col("_all") <= budget
-    rows = rows.withColumn("kept_from", F.when(~whole, start)).withColumn("truncated", ~whole).withColumn("fits", whole | (F.col("_opening") <= budget))
-    kept = F.col("fits") & (~F.col("truncated") | F.col("_open") | F.coalesce(F.col(pos) >= F.col("kept_from"), F.lit(False)))
-    return rows.where(kept).drop("_tok", "_first_user", "_place", "_open", "_opening", "_all", "_suffix")
+    rows = turns.withColumn("_waymark_tok", tokens).withColumn("_waymark_first_user", F.min(F.when(F.col(role) == "user", F.col(pos))).over(w)).withColumn("_waymark_place", F.row_number().over(up))
+    leads = F.min(F.when((F.col("_waymark_place") == 1) & (F.col(role) == "system"), F.col(pos))).over(w)
+    last = F.coalesce(F.col("_waymark_first_user"), leads)
+    rows = rows.withColumn("_waymark_open", F.coalesce(F.col(pos) <= last, F.lit(False)) & ((F.col(role) == "user") | ((F.col(role) == "system") & (F.col("_waymark_place") == 1)) | F.col("_waymark_first_user").isNotNull()))
+    rows = rows.withColumn("_waymark_opening", F.sum(F.when(F.col("_waymark_open"), F.col("_waymark_tok")).otherwise(0)).over(w)).withColumn("_waymark_all", F.sum("_waymark_tok").over(w)).withColumn("_waymark_suffix", F.sum("_waymark_tok").over(down))
+    start = F.min(F.when(~F.col("_waymark_open") & (F.col(role) == "assistant") & (F.col("_waymark_opening") + F.col("_waymark_suffix") <= budget), F.col(pos))).over(w)
+    whole = F.col("_waymark_all") <= budget
+    rows = rows.withColumn("kept_from", F.when(~whole, start)).withColumn("truncated", ~whole).withColumn("fits", whole | (F.col("_waymark_opening") <= budget))
+    kept = F.col("fits") & (~F.col("truncated") | F.col("_waymark_open") | F.coalesce(F.col(pos) >= F.col("kept_from"), F.lit(False)))
+    return rows.where(kept).drop("_waymark_tok", "_waymark_first_user", "_waymark_place", "_waymark_open", "_waymark_opening", "_waymark_all", "_waymark_suffix")
 
 
 def truncate_pairs(turns: DataFrame, keys: Keys, budget: int, tokens: Column, pos: str = "pos", role: str = "role", fixed: int = 2) -> DataFrame:
@@ -201,12 +207,12 @@ def truncate_pairs(turns: DataFrame, keys: Keys, budget: int, tokens: Column, po
     """
     w = Window.partitionBy(*keys)
     up, down = w.orderBy(pos), w.orderBy(F.desc(pos))
-    rows = turns.withColumn("_tok", tokens).withColumn("_place", F.row_number().over(up)).withColumn("_n", F.count("*").over(w)).withColumn("_suffix", F.sum("_tok").over(down))
-    rows = rows.withColumn("_head", F.sum(F.when(F.col("_place") <= fixed, F.col("_tok")).otherwise(0)).over(w))
-    begins = (F.col("_place") == fixed + 1) | (F.col(role) != "user")
-    able = (F.col("_place") > fixed) & ((F.col("_place") == F.col("_n")) | (begins & (F.col("_head") + F.col("_suffix") <= budget)))
-    start = F.min(F.when(able, F.col("_place"))).over(w)
-    return rows.withColumn("_start", start).where((F.col("_place") <= fixed) | (F.col("_place") >= F.col("_start"))).drop("_tok", "_place", "_n", "_suffix", "_head", "_start")
+    rows = turns.withColumn("_waymark_tok", tokens).withColumn("_waymark_place", F.row_number().over(up)).withColumn("_waymark_n", F.count("*").over(w)).withColumn("_waymark_suffix", F.sum("_waymark_tok").over(down))
+    rows = rows.withColumn("_waymark_head", F.sum(F.when(F.col("_waymark_place") <= fixed, F.col("_waymark_tok")).otherwise(0)).over(w))
+    begins = (F.col("_waymark_place") == fixed + 1) | (F.col(role) != "user")
+    able = (F.col("_waymark_place") > fixed) & ((F.col("_waymark_place") == F.col("_waymark_n")) | (begins & (F.col("_waymark_head") + F.col("_waymark_suffix") <= budget)))
+    start = F.min(F.when(able, F.col("_waymark_place"))).over(w)
+    return rows.withColumn("_waymark_start", start).where((F.col("_waymark_place") <= fixed) | (F.col("_waymark_place") >= F.col("_waymark_start"))).drop("_waymark_tok", "_waymark_place", "_waymark_n", "_waymark_suffix", "_waymark_head", "_waymark_start")
 
 
 def cleaned_prompt(turns: DataFrame, keys: Keys, pos: str, role: str, content: str) -> DataFrame:
@@ -215,8 +221,8 @@ def cleaned_prompt(turns: DataFrame, keys: Keys, pos: str, role: str, content: s
     last = F.max(pos).over(Window.partitionBy(*keys))
     bare = F.regexp_replace(F.col(content), "(?s)<think>.*?</think>", "")
     block = F.try_element_at(F.regexp_extract_all(bare, F.lit("(?s)```[a-zA-Z]*\n(.*?)```"), F.lit(1)), F.lit(-1))
-    clean = F.when((F.col(role) == "assistant") & (F.col(pos) < F.col("_last")), F.coalesce(block, bare)).otherwise(F.col(content))
-    return turns.withColumn("_last", last).withColumn(content, clean).drop("_last")
+    clean = F.when((F.col(role) == "assistant") & (F.col(pos) < F.col("_waymark_last")), F.coalesce(block, bare)).otherwise(F.col(content))
+    return turns.withColumn("_waymark_last", last).withColumn(content, clean).drop("_waymark_last")
 
 
 def rollout_grid(lengths: DataFrame, length: str, start: int = 2, steps: int = 5) -> DataFrame:
@@ -235,8 +241,8 @@ def recording_mode(rows: DataFrame, keys: Keys, terminal: Column, error: Column
     error step itself is 'recording'."""
     failed = F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)
     done = F.min(F.when(F.coalesce(terminal, F.lit(False)) | failed, F.col("step"))).over(Window.partitionBy(*keys, "k"))
-    live = (F.col("_done").isNull() | (F.col("step") <= F.col("_done"))) & ~failed
-    return rows.withColumn("_done", done).withColumn("mode", F.when(live, "generation").otherwise("recording")).drop("_done")
+    live = (F.col("_waymark_done").isNull() | (F.col("step") <= F.col("_waymark_done"))) & ~failed
+    return rows.withColumn("_waymark_done", done).withColumn("mode", F.when(live, "generation").otherwise("recording")).drop("_waymark_done")
 
 
 def solved(rows: DataFrame, keys: Keys, success: str) -> DataFrame:
