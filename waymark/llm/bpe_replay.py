@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by replaying the merges over a whole corpus block.
+"""Byte-level BPE encoding and decoding by replaying the merges over blocks of the corpus.
 
 A worker gathers the distinct pieces (pattern matches) of a batch that it hasn't met
 yet, lays their bytes out as one linked list of tokens and builds an inverted index
