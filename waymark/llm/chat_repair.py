@@ -157,8 +157,9 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     conversation's ending included in the last turn's).
     """
     spark = prepare(turns.sparkSession)
-    base = reliable(turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")))
+    base = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     kind, turn_kind = base.schema["conv"].dataType, base.schema["turn"].dataType
+    # equal rows are told apart by number only to spread them; any order of them is the same
     keyed = base.withColumn("tie", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("tie"), F.col("text").isNull(), F.col("row")]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
