@@ -147,6 +147,11 @@ def map_values(column: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), column), column)
 
 
+def keep_existing(df: DataFrame, listed: Sequence[str]) -> DataFrame:
+    """The listed columns in their order, without those that df lacks."""
+    return df.select(*(F.col(f"`{c}`") for c in listed if c in df.columns))
+
+
 def without_empty_columns(df: DataFrame, unnamed: str = "Unnamed") -> DataFrame:
     """df without columns that hold only nulls and without unnamed ones; one pass."""
     named = [c for c in df.columns if not c.startswith(unnamed)]

@@ -50,6 +50,15 @@ def read_inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return union_all([spark.read.parquet(p) for p in paths])
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a glob matches in any file system, sorted; a pattern without matches raises."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if not found:
+        raise ValueError(f"no file matches {pattern}")
+    return sorted(status.getPath().toString() for status in found)
+
+
 def read_config(spark: SparkSession, path: str) -> dict:
     """A JSON or YAML file as nested dicts, through Spark's file systems."""
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
@@ -82,3 +91,17 @@ def training_chain(config: dict) -> list[str]:
 def compose_config(parts: dict[str, dict], name: str, existing: int) -> dict:
     """One experiment configuration of its parts; its id is the number of those before it."""
     return {"name": name, "id": existing, **parts}
+
+
+def compose_experiment(spark: SparkSession, name: str, saved: str, datasets: Sequence[str] = (), **parts) -> dict:
+    """``compose_config`` of files: a configuration for each match of the ``datasets`` globs, the
+    file's content for each part that names a JSON or YAML file, any other part as it is.  The
+    id counts what the folder ``saved`` holds; a folder that isn't there yet holds nothing."""
+    read = {"dataset": [read_config(spark, path) for pattern in datasets for path in matching(spark, pattern)]} if datasets else {}
+    for key, part in parts.items():
+        read[key] = read_config(spark, part) if isinstance(part, str) and part.endswith((".json", ".yaml", ".yml")) else part
+    try:
+        existing = len(matching(spark, f"{saved}/*"))
+    except ValueError:
+        existing = 0
+    return compose_config(read, name, existing)
