@@ -137,6 +137,16 @@ def test_sources_and_sinks(spark, tmp_path):
     made = readers.read_config(spark, f"{tmp_path}/s")
     assert readers.training_chain(made) == ["dpo", "sft"] and readers.setting(made, "task.none.x", 3) == 3
     assert readers.compose_config({"model": {}}, "n", 4) == {"name": "n", "id": 4, "model": {}}
+    made = readers.compose_experiment(spark, "n", f"{tmp_path}/none yet", [f"{tmp_path}/[s]"], seed=7)
+    assert made["id"] == 0 and made["seed"] == 7 and [d["task"]["name"] for d in made["dataset"]] == ["sft"]
+    with pytest.raises(ValueError):
+        readers.matching(spark, f"{tmp_path}/nothing*")
+
+
+def test_keep_existing(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, `b.c` int, d int")
+    assert R.keep_existing(df, ["d", "x", "b.c"]).columns == ["d", "b.c"]
+    assert R.keep_existing(df, ["x"]).columns == []
 
 
 def test_streaming(spark, tmp_path):
