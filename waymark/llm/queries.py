@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, chat_repair, cross_entropy, itq_dedup, license_scan, minhash_dedup, mixing, ngram_rules, quality_lm, toxicity_gbt
+from . import bpe_replay, chat_repair, cross_entropy, fill_middle, itq_dedup, license_scan, merkle, minhash_dedup, mixing, ngram_rules, quality_lm, simhash, toxicity_gbt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.digests(bpe_replay.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.likeness(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_repair, op2_ngram_rules, op3_quality_classifier, op4_mixing, op5_itq_dedup, op6_license_scan, op7_toxicity, op8_cross_entropy, op9_minhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_repair, op2_ngram_rules, op3_quality_classifier, op4_mixing, op5_itq_dedup, op6_license_scan, op7_toxicity, op8_cross_entropy, op9_minhash_dedup, op10_byte_bpe, op11_merkle_manifest, op12_simhash, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op5_itq_dedup": itq_dedup.ORACLE_SQL, "op9_minhash_dedup": minhash_dedup.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op5_itq_dedup": itq_dedup.ORACLE_SQL, "op9_minhash_dedup": minhash_dedup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op13_fill_middle": fill_middle.ORACLE_SQL}
