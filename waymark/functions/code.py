@@ -10,6 +10,7 @@ import ast
 import difflib
 import hashlib
 import io
+import json
 import keyword
 import math
 import re
@@ -24,6 +25,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ship
+from .recovery import normal_form
 
 #: Least ratio of a fuzzy line match, and its penalty for each line of distance.
 FUZZY, NEAR = 0.90, 0.01
@@ -76,16 +78,22 @@ def parsed(code: str) -> ast.Module | None:
 
 
 def code_hash(code: str) -> str:
-    """MD5 of the renamed syntax tree, of the text itself where that doesn't parse; '' for ''.
+    """MD5 of the renamed syntax tree; '' for ''.
 
-    Equal hashes mean equal programs up to names, within one Python version.
+    A text that doesn't parse is hashed in the normal form of ``recovery``: what of it parses as
+    renamed trees, the rest as tokens with names replaced.  Only one nested deeper than
+    Python goes is hashed as it is.  Equal hashes mean equal programs up to names, within
+    one Python version; a broken program never shares its hash with one that parses.
     """
     if not code:
         return ""
     tree, form = parsed(code), code
-    if tree is not None:
-        with _deep(), suppress(RecursionError):
-            form = ast.dump(_Rename().visit(tree))
+    with _deep(), suppress(RecursionError):
+        rename = _Rename()
+        if tree is not None:
+            form = ast.dump(rename.visit(tree))
+        else:
+            form = json.dumps(normal_form(code, rename, lambda n: rename._of(rename.variables, "v", n), lambda n: rename._of(rename.functions, "f", n)))
     return hashlib.md5(form.encode("utf-8", "replace")).hexdigest()
 
 
@@ -122,13 +130,26 @@ def tokens_with_indents(code: str) -> list[str]:
 
 
 def edit_distance(a, b) -> int:
-    """Levenshtein distance of two sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Levenshtein distance of two sequences of hashable items.
+
+    One integer holds a column of differences, a bit a row (Myers 1999, in Hyyrö's form), so
+    an item of b costs a few operations on numbers of len(a) bits.
+    """
+    if not a or not b:
+        return len(a) or len(b)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for y in b:
+        equal = where.get(y, 0)
+        level = (((equal & up) + up) ^ up) | equal | down
+        right, left = down | (full & ~(level | up)), up & level
+        distance += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | (full & ~(level | right)), right & level
+    return distance
 
 
 def token_distance(a: str, b: str) -> float:
@@ -444,15 +465,18 @@ def representation(before: str | None, after: str, strategy: str = "one_block",
     """'full' or 'diff': how a submission is shown after the one before.
 
     one_block: one hunk and under half of the lines changed; content_diff: token similarity
-    above a half; progression: the grade has changed.  The first submission is full.
+    above a half; progression: the grade hasn't changed.  The first submission, and one
+    after an empty one, is full.
     """
-    if before is None:
+    if not before:
         return "full"
     diff = unified_diff(before, after)
+    if strategy not in ("one_block", "content_diff", "progression"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "content_diff":
         small = token_similarity(before, after) > 0.5
     elif strategy == "progression":
-        small = grade_changed
+        small = not grade_changed
     else:
         old = before.strip().split("\n") if before.strip() else []
         changed = sum(line[:1] in ("+", "-") for line in diff.split("\n"))
@@ -480,15 +504,28 @@ _KINDS = {
 _ONE = {"code_hash", "compiles", "reprinted", "tokens_with_comments", "tokens_with_indents", "tree_size", "parse_diff", "reconstruct"}
 
 
+def _represented(before: pd.Series, after: pd.Series, strategy: pd.Series, changed: pd.Series) -> pd.Series:
+    rows = zip(before, after, strategy, changed)
+    return pd.Series([None if a is None or s is None else representation(b, a, s, bool(c)) for b, a, s, c in rows], dtype=object)
+
+
+def shown_as(before, after, strategy: str = "one_block", grade_changed=None):
+    """Column of ``representation``; without ``grade_changed`` no grade has changed."""
+    changed = F.lit(False) if grade_changed is None else F.coalesce(grade_changed, F.lit(False))
+    return udf("representation")(before, after, F.lit(strategy), changed)
+
+
 def udf(name: str):
     """A pandas UDF of one of the functions above, for the active session."""
     if session := SparkSession.getActiveSession():
         ship(session)
     function, kind = _KINDS[name]
-    needed = 1 if name == "representation" else 0  # its first argument may be missing
+
+    if name == "representation":  # before, after, strategy, whether the grade changed
+        return F.pandas_udf(_represented, kind)
 
     def one(*row):
-        return None if any(x is None for x in row[needed:]) else function(*row)
+        return None if any(x is None for x in row) else function(*row)
 
     def batch(*columns: pd.Series) -> pd.Series:
         return pd.Series([one(*row) for row in zip(*columns)], dtype=object)

@@ -1,25 +1,31 @@
-"""Grading of programs in separate, resource-limited processes.
-
-Nothing is executed unless ``grade_programs`` is called.  A program runs in a fresh
-interpreter in an empty folder, with limits on time, memory and written bytes; its output
-goes to a file.  Its test runs afterwards in a process of its own, which has the output and
-the program's text, so nothing that a program does can reach the score.  A test that
-executes the program's text itself gives that protection up.  The limits are no sandbox:
-run untrusted programs on workers that can be thrown away.
+"""Grading of programs in separate, resource-limited process trees.
+
+Nothing is executed unless ``grade_programs`` is called.  Each run has a supervisor.  The
+program is its child in a PID namespace with a /proc of its own, where the system allows
+that: it sees no process of other runs, and all that it has started ends with it, whatever
+session or parent they took.  Elsewhere the supervisor is the subreaper of its descendants; it stops
+all of them, kills them and waits until none is left.  Only then does the run count as over.  Output,
+errors and score go through pipes that the supervisor's own process tree alone holds, never
+through files; a score's pipe exists for the test only, which runs afterwards in a tree of
+its own and can't be traced by others of its user.  So nothing that a program does or leaves behind reaches its own score or that of
+another.  A test that executes the program's text itself gives that protection up.  Limits hold
+on time, memory, written bytes and printed bytes.  Where there are no namespaces, a
+program may kill its supervisor: its own run fails then.  These limits are no full sandbox (the network and
+readable files stay in reach): run untrusted programs on workers that can be thrown away.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import signal
+import selectors
 import subprocess
 import sys
 import tempfile
+import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,58 +38,186 @@ SECONDS, MEGABYTES, THREADS = 5, 512, 4
 #: Bytes that a program may print; one that prints more fails.
 OUTPUT_BYTES = 1 << 20
 
-_LIMITS = """
-import builtins, json, random, resource, sys
-resource.setrlimit(resource.RLIMIT_CPU, (%(seconds)d, %(seconds)d))
-resource.setrlimit(resource.RLIMIT_AS, (%(bytes)d, %(bytes)d))
-resource.setrlimit(resource.RLIMIT_FSIZE, (%(written)d, %(written)d))
-random.seed(42)
+#: The supervisor: a child with limits runs the job; afterwards no descendant is left.
+_SUPERVISOR = """
+import builtins, ctypes, json, os, random, resource, signal, sys, time
 job = json.load(sys.stdin)
-"""
-_PROGRAM = _LIMITS + """
-given = iter(job["inputs"])
-builtins.input = lambda *a: next(given, "")
-exec(compile(job["code"], "program", "exec"), {"__name__": "__main__"})
-"""
-_TEST = _LIMITS + """
-space = {"__name__": "__main__", "program_output": job["output"], "program_code": job["code"]}
-exec(compile(job["test"], "test", "exec"), space)
-with open(job["result"], "w") as result:
-    json.dump(float(space.get("score", 0)), result)
-"""
+said, score = job["said"], job["score"]
+libc = ctypes.CDLL(None, use_errno=True)
+DEATHSIG, DUMPABLE, SUBREAPER = 1, 4, 36  # of prctl
 
+stop = []
+signal.signal(signal.SIGTERM, lambda *a: stop.append(True))
 
-def _run(source: str, job: dict, folder: Path, seconds: int, megabytes: int) -> tuple[str, str | None]:
-    """(output, error) of one process."""
-    (folder / "work").mkdir(exist_ok=True)
-    script = source % {"seconds": seconds, "bytes": megabytes << 20, "written": OUTPUT_BYTES}
-    with open(folder / "output", "wb") as out, open(folder / "errors", "wb") as err:
-        process = subprocess.Popen([sys.executable, "-I", "-c", script], stdin=subprocess.PIPE, stdout=out, stderr=err, cwd=folder / "work", env={"PYTHONHASHSEED": "0"}, start_new_session=True)
+def program():
+    signal.signal(signal.SIGTERM, signal.SIG_DFL)
+    os.close(said)
+    if score is None or not job["test"]:
+        os.closerange(3, 256)
+    for kind, most in ((resource.RLIMIT_CPU, job["seconds"]), (resource.RLIMIT_AS, job["bytes"]), (resource.RLIMIT_FSIZE, job["written"]), (resource.RLIMIT_CORE, 0)):
+        resource.setrlimit(kind, (most, most))
+    random.seed(42)
+    if job["test"]:
+        libc.prctl(DUMPABLE, 0, 0, 0, 0)
+        space = {"__name__": "__main__", "program_output": job["output"], "program_code": job["code"]}
+        exec(compile(job["test"], "test", "exec"), space)
+        os.write(score, json.dumps(float(space.get("score", 0))).encode())
+    else:
+        given = iter(job["inputs"])
+        builtins.input = lambda *a: next(given, "")
+        exec(compile(job["code"], "program", "exec"), {"__name__": "__main__"})
+
+def run():
+    # leaves through the interpreter's own end, so that output is flushed and errors are printed
+    pid = os.fork()
+    if not pid:
+        program()
+        sys.exit()
+    return pid
+
+def children():
+    found = []
+    for name in os.listdir("/proc"):
+        if name.isdigit():
+            try:
+                with open(f"/proc/{name}/stat") as stat:
+                    found.append((int(stat.read().rpartition(")")[2].split()[1]), int(name)))
+            except OSError:
+                pass
+    below, more = {os.getpid()}, True
+    while more:
+        more = {child for parent, child in found if parent in below} - below
+        below |= more
+    return below - {os.getpid()}
+
+def clear():
+    # stopped first, so that none can start another while the others are killed
+    while True:
+        known = set()
+        while (now := children()) - known:
+            for pid in now - known:
+                try:
+                    os.kill(pid, signal.SIGSTOP)
+                except OSError:
+                    pass
+            known |= now
+        for pid in known:
+            try:
+                os.kill(pid, signal.SIGKILL)
+            except OSError:
+                pass
         try:
-            process.communicate(json.dumps(job).encode(), timeout=seconds + 1)
-        except subprocess.TimeoutExpired:
-            return "", "TimeoutExpired"
-        finally:  # with whatever it has started
-            with suppress(ProcessLookupError):
-                os.killpg(process.pid, signal.SIGKILL)
-            process.wait()
-        code = process.returncode
-    said = (folder / "errors").read_text("utf-8", "replace").strip()
-    error = f"signal {-code}" if code < 0 else said.splitlines()[-1] if code and said.startswith("Traceback") else None
-    return (folder / "output").read_text("utf-8", "replace"), error
-
-
-def run_program(code: str, test: str | None = None, inputs: list[str] | None = None, seconds: int = SECONDS, megabytes: int = MEGABYTES) -> dict:
-    """output, error and score of one program; the score is what its test leaves in ``score``."""
+            while True:
+                os.waitpid(-1, 0)
+        except ChildProcessError:
+            if not children():
+                return
+
+def wait(pid, until):
+    while time.monotonic() < until and not stop:
+        done, status = os.waitpid(-1, os.WNOHANG)
+        if done == pid:
+            return status
+        if not done:
+            time.sleep(0.002)
+    return None
+
+libc.prctl(DUMPABLE, 0, 0, 0, 0)
+user, group = os.getuid(), os.getgid()
+apart = False
+for flags in (os.CLONE_NEWPID | os.CLONE_NEWNS, os.CLONE_NEWUSER | os.CLONE_NEWPID | os.CLONE_NEWNS) if job["apart"] else ():
+    try:
+        libc.prctl(DUMPABLE, 1, 0, 0, 0)
+        os.unshare(flags)
+        if flags & os.CLONE_NEWUSER:
+            for name, text in (("setgroups", "deny"), ("uid_map", f"{user} {user} 1"), ("gid_map", f"{group} {group} 1")):
+                with open(f"/proc/self/{name}", "w") as file:
+                    file.write(text)
+        apart = True
+        break
+    except OSError:
+        pass
+until = time.monotonic() + job["seconds"] + 0.5
+if apart:
+    first = os.fork()
+    if not first:  # the namespace's first process: when it ends, all others in there do
+        libc.prctl(DEATHSIG, signal.SIGKILL, 0, 0, 0)
+        libc.mount(b"none", b"/", None, 0x4000 | 0x40000, None)
+        libc.mount(b"proc", b"/proc", b"proc", 0, None)
+        inner = run()
+        status = wait(inner, until + 60)
+        os.write(said, json.dumps(status).encode())
+        os._exit(0)
+    if wait(first, until) is None:
+        os.kill(first, signal.SIGKILL)
+        os.waitpid(first, 0)
+        os.write(said, b"null")
+else:
+    libc.prctl(SUBREAPER, 1, 0, 0, 0)
+    status = wait(run(), until)
+    clear()
+    os.write(said, json.dumps(status).encode())
+os._exit(0)
+"""
+
+
+def _run(job: dict, seconds: int, megabytes: int, apart: bool = True) -> tuple[str, str | None, float | None]:
+    """(output, error, score) of one process tree."""
+    said, tell = os.pipe()
+    read, write = os.pipe()
+    limits = {"said": tell, "score": write, "seconds": seconds, "bytes": megabytes << 20, "written": OUTPUT_BYTES, "apart": apart}
+    with tempfile.TemporaryDirectory() as work:
+        process = subprocess.Popen([sys.executable, "-I", "-c", _SUPERVISOR], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, cwd=work, env={"PYTHONHASHSEED": "0"}, pass_fds=(tell, write), start_new_session=True)
+        os.close(tell)
+        os.close(write)
+        with suppress(BrokenPipeError):
+            process.stdin.write(json.dumps(job | limits).encode())
+            process.stdin.close()
+        pipes = {process.stdout.fileno(): bytearray(), process.stderr.fileno(): bytearray(), said: bytearray(), read: bytearray()}
+        late, until = False, time.monotonic() + seconds + 10
+        with selectors.DefaultSelector() as waiting:
+            for fd in pipes:
+                waiting.register(fd, selectors.EVENT_READ)
+            while waiting.get_map():
+                late = late or time.monotonic() > until or len(pipes[process.stdout.fileno()]) > OUTPUT_BYTES
+                if late:
+                    break
+                for key, _ in waiting.select(0.2):
+                    got = os.read(key.fd, 1 << 16)
+                    if not got:
+                        waiting.unregister(key.fd)
+                    elif len(pipes[key.fd]) <= OUTPUT_BYTES:
+                        pipes[key.fd] += got
+        if late:  # it ends its tree first
+            process.terminate()
+        process.wait()
+        output, errors, status, score = (bytes(pipes[fd]) for fd in (process.stdout.fileno(), process.stderr.fileno(), said, read))
+        for fd in (said, read):
+            os.close(fd)
+        process.stdout.close()
+        process.stderr.close()
+    text = output.decode("utf-8", "replace")
+    if late and len(output) > OUTPUT_BYTES:
+        return text[:OUTPUT_BYTES], "OutputTooLong", None
+    code = json.loads(status) if status and not late else None
+    if code is None:
+        return text, "TimeoutExpired" if late or status else "Killed", None
+    code, lines = os.waitstatus_to_exitcode(code), errors.decode("utf-8", "replace").strip()
+    error = f"signal {-code}" if code < 0 else lines.splitlines()[-1] if code and lines.startswith("Traceback") else None
+    return text, error, json.loads(score) if score and error is None else None
+
+
+def run_program(code: str, test: str | None = None, inputs: list[str] | None = None, seconds: int = SECONDS, megabytes: int = MEGABYTES, apart: bool = True) -> dict:
+    """output, error and score of one program; the score is what its test leaves in ``score``.
+
+    ``apart`` asks for a PID namespace; without, or where there is none, the supervisor reaps.
+    """
     if not compiles(code):
         return {"output": "", "error": "SyntaxError", "score": None}
-    with tempfile.TemporaryDirectory() as one, tempfile.TemporaryDirectory() as two:
-        output, error = _run(_PROGRAM, {"code": code, "inputs": inputs or []}, Path(one), seconds, megabytes)
-        if error is not None or not test:
-            return {"output": output, "error": error, "score": None}
-        result = Path(two, "result")
-        _, error = _run(_TEST, {"test": test, "output": output, "code": code, "result": str(result)}, Path(two), seconds, megabytes)
-        score = json.loads(result.read_text()) if error is None and result.exists() else None
+    output, error, _ = _run({"code": code, "inputs": inputs or [], "test": None}, seconds, megabytes, apart)
+    score = None
+    if error is None and test:
+        _, error, score = _run({"test": test, "output": output, "code": code}, seconds, megabytes, apart)
     return {"output": output, "error": error, "score": score}
 
 

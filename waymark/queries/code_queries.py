@@ -26,13 +26,33 @@ def compiles(spark, sf_dir):
     return _programs(spark, sf_dir).select("event_id", C.udf("compiles")("a").alias("good"))
 
 
-@query("""WITH p AS (SELECT event_id % 11 = 0 AS broken, floor(value / 100)::BIGINT AS bucket, event_id % 7 AS name FROM events)
-SELECT count(DISTINCT CASE WHEN NOT broken THEN bucket END)::BIGINT AS n_parsed, count(DISTINCT CASE WHEN broken THEN (bucket, name) END)::BIGINT AS n_raw FROM p""")
+#: Breakages of the program below, by number: none, an open header, a missing colon, an open string, a lone if, a stray bracket.
+_BROKEN = 6
+
+
+def _worn_programs(spark, sf_dir):
+    """Programs whole and broken; names, blanks, comments and widths of indents vary with the event."""
+    e = F.col("event_id")
+    number = F.floor(F.col("value") / 100).cast("long").cast("string")
+    pick = lambda n, *texts: F.element_at(F.array(*map(F.lit, texts)), (e % n + 1).cast("int"))
+    name, other = F.concat(F.lit("n"), (e % 7).cast("string")), F.concat(F.lit("m"), (e % 5).cast("string"))
+    blank, indent, note = pick(3, "", " ", "  "), pick(4, "  ", "    ", "\t", "   "), pick(5, "", "  # a note", "", "", "\n\n# lines")
+    head = F.element_at(F.array(*map(F.lit, ("):", ":", ")", "):", "):", "):"))), (F.floor(e / 7) % _BROKEN + 1).cast("int"))
+    tail = F.element_at(F.array(*map(F.lit, ("", "", "", "print('open\n", "if:\n", "x = 2)\n"))), (F.floor(e / 7) % _BROKEN + 1).cast("int"))
+    lines = [F.concat(F.lit("def f("), name, head, note), F.concat(indent, F.lit("return"), F.lit(" "), name, blank, F.lit("+"), blank, number), F.concat(other, blank, F.lit("="), blank, F.lit("f("), number, F.lit(")")), F.concat(F.lit("print("), other, F.lit(")"), note)]
+    return table(spark, sf_dir, "events").select("event_id", F.concat(*(x for line in lines for x in (line, F.lit("\n"))), tail).alias("code"))
+
+
+@query(f"""WITH p AS (SELECT event_id, event_id // 7 % {_BROKEN} AS kind, floor(value / 100)::BIGINT AS bucket FROM events)
+SELECT event_id, min(event_id) OVER w AS class_id, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY kind, bucket)""")
 def code_hash_classes(spark, sf_dir):
-    """Programs that differ in names alone share a hash; texts that don't parse have their own."""
-    rows = _programs(spark, sf_dir).withColumn("h", C.udf("code_hash")("a"))
-    broken = F.col("event_id") % 11 == 0
-    return rows.agg(F.count_distinct(F.when(~broken, F.col("h"))).alias("n_parsed"), F.count_distinct(F.when(broken, F.col("h"))).alias("n_raw"))
+    """The class of each program, whole or broken: those alike up to names and blanks.  Each
+    distinct text is hashed once."""
+    rows = _worn_programs(spark, sf_dir)
+    hashed = rows.select("code").distinct().withColumn("h", C.udf("code_hash")("code"))
+    named = rows.join(hashed, "code").select("event_id", "h")
+    classes = named.groupBy("h").agg(F.min("event_id").alias("class_id"), F.count("*").alias("n"))
+    return named.join(classes, "h").select("event_id", "class_id", "n")
 
 
 @query("SELECT event_id, true AS same FROM events")
@@ -63,9 +83,19 @@ def python_tokens(spark, sf_dir):
     return _programs(spark, sf_dir).select("event_id", C.udf("tokens_with_comments")("a").alias("plain"), C.udf("tokens_with_indents")("a").alias("indented"), C.udf("reprinted")("a").alias("printed"), C.udf("tree_size")("a").alias("size"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN kind IN (1, 2) THEN 'diff' ELSE 'full' END AS one_block, CASE WHEN kind IN (1, 2, 3) THEN 'diff' ELSE 'full' END AS content_diff,
+  CASE WHEN kind = 0 OR event_id % 5 = 0 THEN 'full' ELSE 'diff' END AS progression FROM (SELECT event_id, event_id % 5 AS kind FROM events)""")
 def representations(spark, sf_dir):
-    return _programs(spark, sf_dir).select("event_id", C.udf("representation")("a", "b").alias("shown"))
+    """How a change is shown by each strategy: none before, one line of six changed, one line added,
+    two lines far apart changed, all lines changed; the grade changes in every fifth."""
+    kind = F.col("event_id") % 5
+    tail = F.floor(F.col("value") / 100).cast("long").cast("string")
+    line = lambda *more: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in more), F.lit("\n"))
+    before = F.concat(*(line(f"a{i} = b + ", tail) for i in range(6)))
+    changed = lambda *at: F.concat(*(line(f"a{i} = c + ", tail) if i in at else line(f"a{i} = b + ", tail) for i in range(6)))
+    after = F.when(kind.isin(0, 1), changed(2)).when(kind == 2, F.concat(before, line("q = ", tail))).when(kind == 3, changed(0, 5)).otherwise(F.concat(*(line(f"w({i}, 'z')") for i in range(9))))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(kind > 0, before).alias("p"), after.alias("n"), (kind == 0).alias("moved"))
+    return rows.select("event_id", *(C.shown_as(F.col("p"), F.col("n"), s, F.col("moved")).alias(s) for s in ("one_block", "content_diff", "progression")))
 
 
 @query("SELECT event_id, floor(value / 100)::BIGINT::VARCHAR || '\nb' AS code FROM events")
@@ -125,3 +155,29 @@ def grade_run(spark, sf_dir):
     test = F.concat(F.lit("score = "), number, F.lit(" if program_output == '"), F.col("n_name"), F.lit("' else -1"))
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("print('"), F.col("n_name"), F.lit("', end='')")).alias("code"), test.alias("testcase"))
     return grade_programs(rows, ["n_nationkey"]).select("n_nationkey", F.col("new_grade").alias("grade"), F.col("output").alias("said"))
+
+
+#: A program that leaves a process in a session of its own, which writes a full score wherever it can.
+_FORGERY = """import glob, os, time
+if os.fork():
+    os._exit(0)
+os.setsid()
+while True:
+    for folder in glob.glob('/tmp/tmp*'):
+        for name in ('result', 'output', 'score'):
+            try:
+                open(folder + '/' + name, 'w').write('100.0')
+            except OSError:
+                pass
+    time.sleep(0.01)
+"""
+
+
+@query("SELECT r_regionkey, unnest(['forged', 'honest']) AS kind, CASE kind WHEN 'honest' THEN r_regionkey::DOUBLE + 1 ELSE 0 END AS grade FROM region")
+def grade_forgeries(spark, sf_dir):
+    """Programs that try to write scores, their own or others', beside honest ones."""
+    regions = table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(F.lit("forged"), F.lit("honest"))).alias("kind"))
+    honest = F.col("kind") == "honest"
+    test = F.concat(F.lit("import time\ntime.sleep(0.2)\nscore = "), F.when(honest, (F.col("r_regionkey") + 1).cast("string")).otherwise("0"))
+    rows = regions.withColumn("code", F.when(honest, "print(1)").otherwise(_FORGERY)).withColumn("testcase", test)
+    return grade_programs(rows, ["r_regionkey", "kind"]).select("r_regionkey", "kind", F.col("new_grade").alias("grade"))
