@@ -27,7 +27,7 @@ def test_windows_of_a_trajectory_share_a_shuffle(spark, sf, name, most):
     assert shuffles(QUERIES[name](spark, sf)) <= most
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ("split_by_student", "sft_examples", "rollout_loop")))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
@@ -36,3 +36,16 @@ def test_no_cross_joins(spark, sf, name):
 def test_text_functions_stay_in_the_jvm(spark, sf):
     for name in ("fence_last", "student_code", "score_parse", "tag_strip", "reward", "kstep_metrics", "degradation"):
         assert not re.search("Python|Pandas|Arrow", plan(QUERIES[name](spark, sf)))
+
+
+@pytest.mark.parametrize("name", ["pairs_temporal_relaxed", "pairs_temporal_drawn", "pairs_temporal_greedy", "pairs_grade_greedy", "random_choice"])
+def test_no_step_meets_another(spark, sf, name):
+    """Pairs are found in one pass over sorted trajectories: one shuffle by trajectory beside the numbering, no join."""
+    text = plan(QUERIES[name](spark, sf))
+    assert "Join" not in text and shuffles(QUERIES[name](spark, sf)) <= 2
+
+
+def test_examples_share_a_shuffle(spark, sf):
+    """Contexts of targets come from running sums: turns are never joined with turns."""
+    text = plan(QUERIES["sft_truncated"](spark, sf))
+    assert len(re.findall(r"SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin", text)) <= 3  # of the split

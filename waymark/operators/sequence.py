@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..workers import ship
+from .pairing import drawn_pairs
 
 Keys = Sequence[str]
 
@@ -86,19 +86,6 @@ def next_pairs(steps: DataFrame, keys: Keys, code: str = "code", code_hash: str
     return ends.where((F.col("seq") >= first) & F.col("rejected_seq").isNotNull() & (F.col(code_hash) != F.col("_waymark_hash"))).drop("_waymark_hash")
 
 
-def later_pairs(steps: DataFrame, keys: Keys, condition: Column, pick: Column, first: int = 1) -> DataFrame:
-    """For each step c the later step r that fulfils a condition and comes first by ``pick``.
-
-    Conditions and pick name columns as c.x and r.x.  A step may be rejected many times; see
-    ``greedy_pairs`` for use at most once.  The join is within trajectories.
-    """
-    c, r = steps.alias("c"), steps.alias("r")
-    same = [F.col(f"c.{k}") == F.col(f"r.{k}") for k in keys]
-    both = c.join(r, [*same, F.col("r.seq") > F.col("c.seq"), condition]).where(F.col("c.seq") >= first)
-    best = both.groupBy(*(F.col(f"c.{k}").alias(k) for k in keys), F.col("c.seq").alias("seq")).agg(F.min_by(F.col("r.seq"), pick).alias("rejected_seq"))
-    return best
-
-
 def grade_pairs(steps: DataFrame, keys: Keys, grade: str = "grade") -> DataFrame:
     """Rejected: the first later step of another known grade.
 
@@ -112,10 +99,9 @@ def grade_pairs(steps: DataFrame, keys: Keys, grade: str = "grade") -> DataFrame
 
 
 def temporal_pairs(steps: DataFrame, keys: Keys, code_hash: str = "code_hash", distance: int = 3, seed: str = "") -> DataFrame:
-    """Rejected: of the steps at least ``distance`` later with another hash one chosen by hash."""
-    far = (F.col("r.seq") >= F.col("c.seq") + distance) & (F.col(f"r.{code_hash}") != F.col(f"c.{code_hash}"))
-    order = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(f"c.{k}").cast("string") for k in keys), F.col("c.seq").cast("string"), F.col("r.seq").cast("string")).cast("binary"))
-    return later_pairs(steps, keys, far, F.struct(order, F.col("r.seq")))
+    """Rejected: one of the steps at least ``distance`` later with another hash, all alike likely,
+    drawn by each step's own hash; a step may be rejected many times."""
+    return drawn_pairs(steps.withColumn("grade", F.lit(None)), keys, "temporal", code_hash=code_hash, distance=distance, replace=True, seed=seed)
 
 
 def greedy_pairs(steps: DataFrame, keys: Keys, kind: str = "grade", grade: str = "grade", code_hash: str = "code_hash", distance: int = 3) -> DataFrame:
@@ -123,41 +109,19 @@ def greedy_pairs(steps: DataFrame, keys: Keys, kind: str = "grade", grade: str =
 
     'grade' takes the first later step of another known grade that isn't used yet; if the
     hashes agree the anchor is given up and the step stays free.  'temporal' takes the first
-    unused step at least ``distance`` later with another hash.  A trajectory is one group in
-    one task: trajectories are short by nature (attempts of one person at one task).
+    unused step at least ``distance`` later with another hash.
+    """
+    return drawn_pairs(steps, keys, kind, grade, code_hash, distance, drawn=False)
+
+
+def random_later(steps: DataFrame, keys: Keys, order: Column, name: str = "pick") -> DataFrame:
+    """Each step with a later one, that of the least ``order``; steps without later ones go.
+
+    A running minimum from the end: all steps that share a choice share its draw.
     """
-    import pandas as pd
-
-    ship(steps.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", seq int, rejected_seq int"
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        rows, used = list(zip(group["seq"], group["g"], group["h"])), set()
-        out = []
-        for i, (seq, g, h) in enumerate(rows):
-            for later, other, hashed in rows[i + 1 :]:
-                if later in used:
-                    continue
-                if kind == "grade":
-                    if pd.isna(g) or pd.isna(other) or other == g:
-                        continue
-                    if hashed != h:
-                        out.append((seq, later))
-                        used.add(later)
-                    break
-                if later >= seq + distance and hashed != h:
-                    out.append((seq, later))
-                    used.add(later)
-                    break
-        made = pd.DataFrame(out, columns=["seq", "rejected_seq"]).astype("int32")
-        for k in reversed(keys):
-            made.insert(0, k, group[k].iloc[0])
-        return made
-
-    slim = steps.select(*keys, F.col("seq").cast("int").alias("seq"), F.col(grade).cast("double").alias("g"), F.col(code_hash).alias("h"))
-    return slim.groupBy(*keys).applyInPandas(pair, schema)
+    later = Window.partitionBy(*keys).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    best = F.min(F.struct(order.alias("order"), F.col("seq").alias("seq"))).over(later)
+    return steps.withColumn(name, best["seq"]).where(F.col(name).isNotNull())
 
 
 def with_remaining(steps: DataFrame, keys: Keys, code: str = "code", grade: str = "grade") -> DataFrame:
@@ -173,16 +137,21 @@ def prefix(messages: Column, length: Column) -> Column:
 
 def expansion_targets(turns: DataFrame, keys: Keys, pos: str, role: str, content: str, after: int = 2) -> DataFrame:
     """Assistant turns after a position that hold a fenced block: one training target each."""
-    return turns.where((F.col(role) == "assistant") & (F.col(pos) > after) & F.col(content).rlike("(?s)```.*?```"))
+    return turns.where(is_target(pos, role, content, after))
+
 
+def is_target(pos: str, role: str, content: str, after: int = 2) -> Column:
+    return (F.col(role) == "assistant") & (F.col(pos) > after) & F.col(content).rlike("(?s)```.*?```")
 
-def truncate_left(turns: DataFrame, keys: Keys, budget: int, tokens: Column, pos: str = "pos", role: str = "role") -> DataFrame:
+
+def truncate_left(turns: DataFrame, keys: Keys, budget: int, tokens: Column, pos: str = "pos", role: str = "role", counted: Observation | None = None) -> DataFrame:
     """Keep the opening (system and first user turn) and as many last turns as fit.
 
     The kept rest begins with an assistant turn.  Tokens add up over messages, so the
     cheapest start is a running sum from the end.  Adds kept_from (the first kept position
     after the opening, null if none), truncated and fits (false: the opening alone is over
-    the budget, no turn is returned).
+    the budget, no turn is returned).  ``counted`` takes n, n_truncated and n_rejected
+    conversations while the rows are written, of the same scan.
     """
     w = Window.partitionBy(*keys)
     up, down = w.orderBy(F.col(pos)), w.orderBy(F.desc(pos))
@@ -194,10 +163,44 @@ def truncate_left(turns: DataFrame, keys: Keys, budget: int, tokens: Column, pos
     start = F.min(F.when(~F.col("_waymark_open") & (F.col(role) == "assistant") & (F.col("_waymark_opening") + F.col("_waymark_suffix") <= budget), F.col(pos))).over(w)
     whole = F.col("_waymark_all") <= budget
     rows = rows.withColumn("kept_from", F.when(~whole, start)).withColumn("truncated", ~whole).withColumn("fits", whole | (F.col("_waymark_opening") <= budget))
+    if counted is not None:
+        of = lambda c: F.coalesce(F.sum(F.when(F.col("_waymark_place") == 1, c.cast("long"))), F.lit(0))
+        rows = rows.observe(counted, of(F.lit(1)).alias("n"), of(F.col("truncated") & F.col("fits")).alias("n_truncated"), of(~F.col("fits")).alias("n_rejected"))
     kept = F.col("fits") & (~F.col("truncated") | F.col("_waymark_open") | F.coalesce(F.col(pos) >= F.col("kept_from"), F.lit(False)))
     return rows.where(kept).drop("_waymark_tok", "_waymark_first_user", "_waymark_place", "_waymark_open", "_waymark_opening", "_waymark_all", "_waymark_suffix")
 
 
+def truncated_targets(turns: DataFrame, keys: Keys, budget: int, tokens: Column, target: Column, pos: str = "pos", role: str = "role") -> DataFrame:
+    """(keys, target, kept_from, n_messages, truncated) for each turn that ``target`` picks: what
+    ``truncate_left`` keeps of the turns up to it.  Targets whose opening alone is over the budget go,
+    and those of which nothing is kept.
+
+    Linear in turns.  With running sums S a start p fits target t if opening + S(t) - S(p - 1)
+    is within the budget, so the first start is the least S(p - 1) that isn't below opening + S(t) - budget:
+    starts and targets are put in one order by these numbers, and each target looks at
+    the start that follows it there.  All windows share the keys' partitioning.
+    """
+    w = Window.partitionBy(*keys)
+    up_to = w.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = turns.select(*keys, F.col(pos).alias("_p"), F.col(role).alias("_role"), F.coalesce(tokens, F.lit(0)).cast("long").alias("_tok"), F.coalesce(target, F.lit(False)).alias("_target"))
+    rows = rows.withColumn("_sum", F.sum("_tok").over(up_to)).withColumn("_place", F.row_number().over(w.orderBy("_p")))
+    rows = rows.withColumn("_user", F.min(F.when(F.col("_role") == "user", F.col("_p"))).over(up_to))  # of the turns so far
+    opening = F.max(F.when(F.col("_p") == F.col("_user"), F.struct("_sum", "_place"))).over(up_to)
+    leads = F.max(F.when((F.col("_place") == 1) & (F.col("_role") == "system"), F.struct(F.col("_tok").alias("_sum"), F.col("_place")))).over(up_to)
+    rows = rows.withColumn("_open", F.coalesce(opening, leads, F.struct(F.lit(0).cast("long").alias("_sum"), F.lit(0).alias("_place"))))
+    rows = rows.withColumn("_late", F.col("_user").isNotNull()).withColumn("_need", F.col("_open._sum") + F.col("_sum") - budget)
+    start = F.when((F.col("_role") == "assistant") & (F.col("_place") > F.col("_open._place")), F.struct(F.lit(1).alias("kind"), (F.col("_sum") - F.col("_tok")).alias("at")))
+    wanted = F.when(F.col("_target"), F.struct(F.lit(0).alias("kind"), F.col("_need").alias("at")))
+    marks = rows.withColumn("_mark", F.explode(F.filter(F.array(wanted, start), lambda x: x.isNotNull())))
+    ahead = Window.partitionBy(*keys, "_late").orderBy(F.desc("_mark.at"), F.desc("_mark.kind"), F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    following = F.last(F.when(F.col("_mark.kind") == 1, F.struct("_p", "_place")), ignorenulls=True).over(ahead)
+    found = marks.withColumn("_from", following).where(F.col("_mark.kind") == 0)
+    whole, at = F.col("_sum") <= budget, F.when(F.col("_from._p") <= F.col("_p"), F.col("_from"))
+    found = found.withColumn("_at", F.when(~whole, at)).where(whole | (F.col("_open._sum") <= budget))
+    n = F.when(whole, F.col("_place")).otherwise(F.col("_open._place") + F.coalesce(F.col("_place") - F.col("_at._place") + 1, F.lit(0)))
+    return found.select(*keys, F.col("_p").alias("target"), F.col("_at._p").alias("kept_from"), n.cast("long").alias("n_messages"), (~whole).alias("truncated")).where("n_messages > 0")
+
+
 def truncate_pairs(turns: DataFrame, keys: Keys, budget: int, tokens: Column, pos: str = "pos", role: str = "role", fixed: int = 2) -> DataFrame:
     """Keep the first ``fixed`` turns and the last one; drop oldest (assistant, user) pairs
     between them until the rest fits, or only these are left.

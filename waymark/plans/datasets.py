@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import sequence as W
+from ..operators.pairing import drawn_pairs
 
 
 def structural_filter(log: DataFrame, least: float = 50.0, exams: bool = True, order: Sequence[str] = ("timestamp",)) -> DataFrame:
@@ -47,13 +48,10 @@ def sft_rows(turns: DataFrame, keys: Sequence[str], budget: int, tokens: Column,
 
     The split comes before the expansion, so all examples of a group lie on one side.  An
     example is named by its target position; its messages are those up to it, cut from the
-    left by ``truncate_left``, and only written out at the sink.
+    left by ``truncated_targets``, and only written out at the sink.
     """
     split = R.split_groups(turns.select(split_key).distinct(), split_key, percent)
-    targets = W.expansion_targets(turns, keys, "pos", "role", "content").select(*keys, F.col("pos").alias("target"))
-    context = targets.join(turns, list(keys)).where(F.col("pos") <= F.col("target"))
-    cut = W.truncate_left(context, [*keys, "target"], budget, tokens)
-    rows = cut.groupBy(*keys, "target").agg(F.max("kept_from").alias("kept_from"), F.count("*").alias("n_messages"), F.max("truncated").alias("truncated"))
+    rows = W.truncated_targets(turns, keys, budget, tokens, W.is_target("pos", "role", "content"))
     return rows.join(split, split_key)
 
 
@@ -65,13 +63,15 @@ def example_messages(examples: DataFrame, turns: DataFrame, keys: Sequence[str])
 
 
 def preference_pairs(steps: DataFrame, keys: Sequence[str], strategy: str = "grade", per_trajectory: int | None = None, seed: str = "") -> DataFrame:
-    """(keys, seq, rejected_seq, chosen, rejected) by a strategy: next, grade, temporal, greedy_grade, greedy_temporal."""
+    """(keys, seq, rejected_seq, chosen, rejected) by a strategy: next, grade, temporal,
+    greedy_grade, greedy_temporal, drawn_temporal."""
     made = {
         "next": lambda: W.next_pairs(steps, keys).select(*keys, "seq", "rejected_seq"),
         "grade": lambda: W.grade_pairs(steps, keys),
         "temporal": lambda: W.temporal_pairs(steps, keys, seed=seed),
         "greedy_grade": lambda: W.greedy_pairs(steps, keys, "grade"),
         "greedy_temporal": lambda: W.greedy_pairs(steps, keys, "temporal"),
+        "drawn_temporal": lambda: drawn_pairs(steps, keys, "temporal", seed=seed),
     }[strategy]()
     if per_trajectory is not None:
         made = R.cap_per_group(made, keys, per_trajectory, [R.hash_order(*keys, "seq", seed=seed), F.col("seq")])
@@ -99,3 +99,11 @@ def truncation_counts(turns: DataFrame, keys: Sequence[str], budget: int, tokens
     kept = W.truncate_left(turns, keys, budget, tokens).groupBy(*keys).agg(F.max(F.col("truncated").cast("int")).alias("cut"))
     every = turns.select(*keys).distinct().join(kept, list(keys), "left")
     return every.agg(F.count("*").alias("n"), F.sum(F.coalesce("cut", F.lit(0))).alias("n_truncated"), F.sum(F.col("cut").isNull().cast("long")).alias("n_rejected"))
+
+
+def write_truncated(turns: DataFrame, keys: Sequence[str], budget: int, tokens: Column, path: str) -> tuple[str, dict[str, int]]:
+    """Writes what ``truncate_left`` keeps; (path, n, n_truncated and n_rejected conversations),
+    counted in the job that writes."""
+    counted = Observation()
+    W.truncate_left(turns, keys, budget, tokens, counted=counted).write.parquet(path)
+    return path, counted.get

@@ -197,8 +197,7 @@ def cap_per_group(spark, sf_dir):
 
 @query(f"WITH {STEPS} SELECT c.user_id, c.problem_id, c.seq, arg_min(r.seq, md5('' || '|' || r.event_id::VARCHAR))::INTEGER AS pick FROM steps c JOIN steps r ON c.user_id = r.user_id AND c.problem_id = r.problem_id AND r.seq > c.seq GROUP BY ALL")
 def random_choice(spark, sf_dir):
-    s = steps(spark, sf_dir).withColumn("h", R.hash_order("event_id"))
-    return W.later_pairs(s, KEYS, F.lit(True), F.col("r.h")).select(*KEYS, "seq", F.col("rejected_seq").cast("int").alias("pick"))
+    return W.random_later(steps(spark, sf_dir), KEYS, R.hash_order("event_id")).select(*KEYS, "seq", "pick")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'C' WHEN 'view' THEN 'V' ELSE event_type END AS kind, split_part(event_type || '_x', '_', 1) AS grp, 'fixed' AS origin FROM events")

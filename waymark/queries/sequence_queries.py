@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..checkpoints import folder, remove
 from ..operators import sequence as W
+from ..operators.pairing import drawn_pairs
 from ..plans import datasets as D
 from .fixtures import FENCED, KEYS, ROLLOUT, STEPS, TURNS, fenced, rollout_rows, steps, turns
 from .registry import query
@@ -80,12 +84,29 @@ def pairs_grade_first(spark, sf_dir):
     return W.grade_pairs(steps(spark, sf_dir), KEYS)
 
 
-@query(f"""WITH {STEPS} SELECT c.user_id, c.problem_id, c.seq, arg_min(r.seq, (md5('s|' || c.user_id::VARCHAR || '|' || c.problem_id || '|' || c.seq::VARCHAR || '|' || r.seq::VARCHAR), r.seq)) AS rejected_seq
-FROM steps c JOIN steps r ON c.user_id = r.user_id AND c.problem_id = r.problem_id AND r.seq >= c.seq + 3 AND r.code <> c.code GROUP BY ALL""")
+#: The number that a step draws, and its place in the order of turns.
+_DRAW = "('0x' || substr(md5('draw|s|' || c.user_id::VARCHAR || '|' || c.problem_id || '|' || c.seq::VARCHAR), 1, 8))::BIGINT"
+_TURN = "md5('turn|s|' || c.user_id::VARCHAR || '|' || c.problem_id || '|' || c.seq::VARCHAR)"
+
+
+@query(f"""WITH {STEPS} SELECT c.user_id, c.problem_id, c.seq, list(r.seq ORDER BY r.seq)[1 + any_value({_DRAW}) % count(*)] AS rejected_seq
+FROM steps c JOIN steps r ON c.user_id = r.user_id AND c.problem_id = r.problem_id AND r.seq >= c.seq + 3 AND r.code_hash <> c.code_hash GROUP BY ALL""")
 def pairs_temporal_relaxed(spark, sf_dir):
     return W.temporal_pairs(steps(spark, sf_dir), KEYS, seed="s")
 
 
+@query(f"""WITH RECURSIVE {STEPS}, turns AS (SELECT c.*, {_DRAW} AS draw, row_number() OVER (PARTITION BY user_id, problem_id ORDER BY {_TURN}, seq) AS turn FROM steps c), walk AS (
+  SELECT DISTINCT user_id, problem_id, 0::BIGINT AS turn, NULL::INTEGER AS seq, []::INTEGER[] AS used, NULL::INTEGER AS rejected FROM steps
+  UNION ALL
+  SELECT w.user_id, w.problem_id, c.turn, c.seq, CASE WHEN len(p.free) = 0 THEN w.used ELSE list_append(w.used, p.free[1 + c.draw % len(p.free)]) END, CASE WHEN len(p.free) > 0 THEN p.free[1 + c.draw % len(p.free)] END
+  FROM walk w JOIN turns c ON c.user_id = w.user_id AND c.problem_id = w.problem_id AND c.turn = w.turn + 1
+  LEFT JOIN LATERAL (SELECT coalesce(list(r.seq ORDER BY r.seq), []) AS free FROM steps r WHERE r.user_id = c.user_id AND r.problem_id = c.problem_id AND r.seq >= c.seq + 3 AND r.code_hash <> c.code_hash AND NOT list_contains(w.used, r.seq)) p ON true
+) SELECT user_id, problem_id, seq, rejected AS rejected_seq FROM walk WHERE rejected IS NOT NULL""")
+def pairs_temporal_drawn(spark, sf_dir):
+    """Anchors in random order, each with a random later step that no other has taken."""
+    return drawn_pairs(steps(spark, sf_dir), KEYS, "temporal", seed="s")
+
+
 _GREEDY = STEPS + """, walk AS (
   SELECT user_id, problem_id, 0 AS seq, []::INTEGER[] AS used, NULL::INTEGER AS rejected FROM steps WHERE seq = 1
   UNION ALL
@@ -142,6 +163,15 @@ def truncation_counts(spark, sf_dir):
     return D.truncation_counts(turns(spark, sf_dir), ["conv_id"], 1500, F.length("content"))
 
 
+@query(f"WITH {_TRUNCATE}, c AS (SELECT conv_id, max(truncated::INT) AS cut FROM kept GROUP BY 1), a AS (SELECT DISTINCT conv_id FROM turns) SELECT (SELECT count(*) FROM kept)::BIGINT AS n_written, count(*)::BIGINT AS n, sum(coalesce(cut, 0))::BIGINT AS n_truncated, sum((cut IS NULL)::INT)::BIGINT AS n_rejected FROM a LEFT JOIN c USING (conv_id)")
+def truncation_observed(spark, sf_dir):
+    """The counters of a truncation, taken while its rows are written."""
+    path, counts = D.write_truncated(turns(spark, sf_dir), ["conv_id"], 1500, F.length("content"), f"{folder(spark)}/truncated-{uuid.uuid4().hex}")
+    n = spark.read.parquet(path).count()
+    remove(spark, path)
+    return spark.createDataFrame([(n, counts["n"], counts["n_truncated"], counts["n_rejected"])], "n_written long, n long, n_truncated long, n_rejected long")
+
+
 @query(f"""WITH {TURNS}, p AS (SELECT *, length(content) AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS place, count(*) OVER (PARTITION BY conv_id) AS n, sum(length(content)) OVER (PARTITION BY conv_id ORDER BY pos DESC) AS suffix FROM turns),
 h AS (SELECT *, coalesce(sum(tok) FILTER (place <= 2) OVER (PARTITION BY conv_id), 0) AS head FROM p),
 s AS (SELECT *, min(place) FILTER (place > 2 AND (place = n OR ((place = 3 OR role <> 'user') AND head + suffix <= 1200))) OVER (PARTITION BY conv_id) AS start FROM h)
@@ -214,3 +244,19 @@ SELECT conv_id, target, CASE WHEN k <= floor(n * 20.0 / 100) THEN 'val' ELSE 'tr
 def sft_examples(spark, sf_dir):
     t = turns(spark, sf_dir).withColumn("content", fenced(F.col("content")))
     return D.sft_rows(t, ["conv_id"], 1 << 30, F.length("content"), "conv_id").select("conv_id", "target", "split")
+
+
+_AT = f"""{TURNS}, f AS (SELECT conv_id, pos, role, length({_F}) AS tok FROM turns), t AS (SELECT conv_id, pos AS target FROM f WHERE role = 'assistant' AND pos > 2),
+ctx AS (SELECT t.target, f.*, min(pos) FILTER (role = 'user') OVER w AS fu, min(CASE WHEN role = 'system' AND pos = 0 THEN 0 END) OVER w AS lead FROM t JOIN f ON f.conv_id = t.conv_id AND f.pos <= t.target WINDOW w AS (PARTITION BY f.conv_id, t.target)),
+o AS (SELECT *, coalesce(CASE WHEN fu IS NOT NULL THEN pos <= fu ELSE pos <= lead END, false) AS opening, sum(tok) OVER (PARTITION BY conv_id, target ORDER BY pos DESC) AS suffix, sum(tok) OVER (PARTITION BY conv_id, target) AS total FROM ctx),
+h AS (SELECT *, coalesce(sum(tok) FILTER (opening) OVER (PARTITION BY conv_id, target), 0) AS head FROM o),
+k AS (SELECT *, total > 1500 AS truncated, CASE WHEN total > 1500 THEN min(pos) FILTER (NOT opening AND role = 'assistant' AND head + suffix <= 1500) OVER (PARTITION BY conv_id, target) END AS kept_from FROM h),
+kept AS (SELECT * FROM k WHERE (total <= 1500 OR head <= 1500) AND (NOT truncated OR opening OR coalesce(pos >= kept_from, false))),
+g AS (SELECT DISTINCT conv_id FROM turns), r AS (SELECT conv_id, row_number() OVER (ORDER BY md5('|' || conv_id::VARCHAR), conv_id) AS k, count(*) OVER () AS n FROM g)"""
+
+
+@query(f"WITH {_AT} SELECT conv_id, target, max(kept_from) AS kept_from, count(*)::BIGINT AS n_messages, bool_or(truncated) AS truncated, any_value(CASE WHEN r.k <= floor(n * 20.0 / 100) THEN 'val' ELSE 'train' END) AS split FROM kept JOIN r USING (conv_id) GROUP BY conv_id, target")
+def sft_truncated(spark, sf_dir):
+    """Examples under a budget that cuts: where each one's context begins."""
+    t = turns(spark, sf_dir).withColumn("content", fenced(F.col("content")))
+    return D.sft_rows(t, ["conv_id"], 1500, F.length("content"), "conv_id").select("conv_id", "target", "kept_from", "n_messages", "truncated", "split")
