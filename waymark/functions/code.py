@@ -18,10 +18,11 @@ import sys
 import token as tokens
 import tokenize
 from collections import Counter
+from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ship
@@ -366,14 +367,14 @@ def _flows(tree: ast.AST) -> Counter:
     return out
 
 
-def codebleu(reference: str, answer: str) -> float:
-    """Mean of BLEU, keyword-weighted BLEU, subtree and data-flow match.
+def codebleu_parts(reference: str, answer: str) -> dict[str, float]:
+    """BLEU, keyword-weighted BLEU, subtree and data-flow match of two programs.
 
     By the published definition with Python's own parser; scores are comparable with
-    each other, not with those of other implementations.  0 for an empty side.
+    each other, not with those of other implementations.  All 0 for an empty side.
     """
     if not reference or not answer:
-        return 0.0
+        return dict.fromkeys(("ngram", "weighted", "tree", "flow"), 0.0)
     x = tokens_with_indents(reference) or reference.split()
     y = tokens_with_indents(answer) or answer.split()
     weights = {k: 1.0 for k in keyword.kwlist}
@@ -381,7 +382,12 @@ def codebleu(reference: str, answer: str) -> float:
     share = lambda want, have: sum((want & have).values()) / sum(want.values()) if want else 1.0
     tree = 0.0 if s is None or t is None else share(_subtrees(s), _subtrees(t))
     flow = 0.0 if s is None or t is None else share(_flows(s), _flows(t))
-    return (bleu(x, y) + bleu(x, y, weights=weights) + tree + flow) / 4
+    return {"ngram": bleu(x, y), "weighted": bleu(x, y, weights=weights), "tree": tree, "flow": flow}
+
+
+def codebleu(reference: str, answer: str) -> float:
+    """The mean of ``codebleu_parts``."""
+    return sum(codebleu_parts(reference, answer).values()) / 4
 
 
 # --- diffs ------------------------------------------------------------------
@@ -393,27 +399,59 @@ def unified_diff(before: str, after: str, context: int = 0) -> str:
     return "\n".join(lines[2:])
 
 
+#: A line and its end, cut as ``str.splitlines`` cuts.
+_LINE = re.compile("([^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|(?<=.)\\Z)", re.DOTALL)
 _HUNK = re.compile(r"^@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@")
 
 
-def parse_diff(diff: str) -> list[dict]:
-    """Hunks: old_start and changes (op ' ', '-' or '+', line).
+def diff_changes(diff: str) -> Iterator[tuple[int, int, int | None, str | None, str | None]]:
+    """(hunk, old_start, place, op, line) of each change, one after another; a hunk without
+    changes is one row with nulls.  op is ' ', '-' or '+'.
 
     Headers stand only before the first hunk, so a deleted line that begins with '--'
     isn't mistaken for one; a line without a mark is context.
     """
-    out: list[dict] = []
-    for line in diff.splitlines():
+    hunk, start, place = -1, 0, 0
+    for found in _LINE.finditer(diff):
+        line = found[1] or ""
         if m := _HUNK.match(line):
-            out.append({"old_start": int(m[1]), "changes": []})
-        elif out:
-            if line[:1] in ("+", "-", " "):
-                out[-1]["changes"].append({"op": line[0], "line": line[1:]})
-            elif line.strip() and not line.startswith("\\"):
-                out[-1]["changes"].append({"op": " ", "line": line})
+            if hunk >= 0 and not place:
+                yield hunk, start, None, None, None
+            hunk, start, place = hunk + 1, int(m[1]), 0
+        elif hunk >= 0 and (line[:1] in ("+", "-", " ") and line or line.strip() and not line.startswith("\\")):
+            marked = line[:1] in ("+", "-", " ")
+            yield hunk, start, place, line[0] if marked else " ", line[1:] if marked else line
+            place += 1
+    if hunk >= 0 and not place:
+        yield hunk, start, None, None, None
+
+
+def parse_diff(diff: str) -> list[dict]:
+    """Hunks: old_start and changes (op, line); see ``diff_changes``."""
+    out: list[dict] = []
+    for hunk, start, place, op, line in diff_changes(diff):
+        if hunk == len(out):
+            out.append({"old_start": start, "changes": []})
+        if place is not None:
+            out[-1]["changes"].append({"op": op, "line": line})
     return out
 
 
+class DiffChanges:
+    """Table function: the rows of ``diff_changes``, none of a null diff; no array of a whole diff is made."""
+
+    def eval(self, diff: str):
+        if diff is not None:
+            yield from diff_changes(diff)
+
+
+def with_diff_changes(df: DataFrame, diff: str) -> DataFrame:
+    """df with a row for each change of a diff (hunk, old_start, place, op, line); rows without hunks go."""
+    ship(df.sparkSession)
+    function = F.udtf(DiffChanges, returnType="hunk int, old_start int, place int, op string, line string")
+    return df.lateralJoin(function(F.col(diff).outer()))
+
+
 def _locate(lines: list[str], wanted: str, hint: int) -> int | None:
     """Nearest line equal up to surrounding blanks, else the best fuzzy match near the hint."""
     bare = wanted.strip()
@@ -493,7 +531,7 @@ _KINDS = {
     "tree_edits": (tree_edits, "double"), "tree_size": (tree_size, "double"), "tree_distance": (tree_distance, "double"),
     "bleu_distance": (bleu_distance, "double"), "rouge_distance": (rouge_distance, "double"), "rouge2_distance": (rouge2_distance, "double"),
     "rouge_l_distance": (rouge_l_distance, "double"), "rouge_lsum_distance": (rouge_lsum_distance, "double"),
-    "token_edits_over_source": (token_edits_over_source, "double"), "tree_edits_over_source": (tree_edits_over_source, "double"), "codebleu": (codebleu, "double"),
+    "token_edits_over_source": (token_edits_over_source, "double"), "tree_edits_over_source": (tree_edits_over_source, "double"), "codebleu": (codebleu, "double"), "codebleu_parts": (codebleu_parts, "struct<ngram:double,weighted:double,tree:double,flow:double>"),
     "unified_diff": (unified_diff, "string"), "apply_diff": (apply_diff, "string"),
     "parse_diff": (parse_diff, "array<struct<old_start:int,changes:array<struct<op:string,line:string>>>>"),
     "reconstruct": (lambda xs: reconstruct(list(xs)), "string"),
@@ -530,6 +568,14 @@ def udf(name: str):
     def batch(*columns: pd.Series) -> pd.Series:
         return pd.Series([one(*row) for row in zip(*columns)], dtype=object)
 
+    if kind.startswith("struct"):
+        names = [f.split(":")[0] for f in kind[7:-1].split(",")]
+
+        def table(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([one(*row) or dict.fromkeys(names) for row in zip(a, b)], columns=names, dtype=float)
+
+        return F.pandas_udf(table, kind)
+
     def unary(a: pd.Series) -> pd.Series:
         return batch(a)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import reliable
+from .selection import medians
 
 #: A lookup table is broadcast up to this many rows; beyond it the planner decides.
 BROADCAST_ROWS = 100_000
@@ -65,12 +66,13 @@ def variants(df: DataFrame, group: str, variant: str) -> DataFrame:
 def without_outliers(df: DataFrame, group: str, value: str, limit: float = 3.5) -> DataFrame:
     """Rows whose modified z-score 0.6745 * |x - median| / MAD is within the limit.
 
-    A group with MAD 0 is kept whole; a null value is kept.
+    A group with MAD 0 is kept whole; a null value is kept.  Medians are exact and no task sorts
+    a whole group.
     """
-    middle = df.groupBy(group).agg(F.median(value).alias("_waymark_median"))
+    middle = medians(df, [group], value, "_waymark_median")
     off = F.abs(F.col(value) - F.col("_waymark_median"))
     near = df.join(middle, df[group].eqNullSafe(middle[group])).drop(middle[group]).withColumn("_waymark_off", off)
-    spread = near.groupBy(group).agg(F.median("_waymark_off").alias("_waymark_mad"))
+    spread = medians(near, [group], "_waymark_off", "_waymark_mad")
     out = near.join(spread, near[group].eqNullSafe(spread[group])).drop(spread[group])
     fine = (F.col("_waymark_mad") == 0) | (F.lit(0.6745) * F.col("_waymark_off") / F.col("_waymark_mad") <= limit)
     return out.where(F.coalesce(fine, F.lit(True))).drop("_waymark_median", "_waymark_off", "_waymark_mad")
@@ -167,9 +169,10 @@ def reorder_by_request(requests: DataFrame, responses: DataFrame, key: str = "cu
 def group_statistics(df: DataFrame, user: str, problem: str, length: str, final: str, success: float = 100.0) -> DataFrame:
     """One row: counts, mean length, solved and unsolved rows, mean and median final grade."""
     won = F.coalesce(F.col(final) >= success, F.lit(False))
+    middle = medians(df.select(F.lit(0).alias("all"), F.col(final).alias("final")), ["all"], "final").first()
     return df.agg(
         F.count("*").alias("n_trajectories"), F.count_distinct(user).alias("n_users"), F.count_distinct(problem).alias("n_problems"), F.avg(length).alias("avg_length"),
-        F.sum(won.cast("long")).alias("n_solved"), F.sum((~won).cast("long")).alias("n_unsolved"), F.avg(final).alias("avg_final"), F.median(final).alias("median_final"),
+        F.sum(won.cast("long")).alias("n_solved"), F.sum((~won).cast("long")).alias("n_unsolved"), F.avg(final).alias("avg_final"), F.lit(middle["median"] if middle else None).cast("double").alias("median_final"),
     )
 
 
@@ -177,3 +180,19 @@ def representatives(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """(keys, text, n): the most frequent raw text of each key, the least of several."""
     counts = df.groupBy(*keys, text).agg(F.count("*").alias("n"))
     return first_per_key(counts, keys, [F.desc("n"), F.col(text)])
+
+
+def distinct_sketches(df: DataFrame, keys: Sequence[str], column: str, bits: int = 14) -> DataFrame:
+    """(keys, sketch): HyperLogLog sketches of a column's distinct values, some 2**bits bytes
+    each.  Stored sketches of splits or days are united without the rows (``united_sketches``)."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(column, bits).alias("sketch"))
+
+
+def united_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sketches of fewer keys, each the union of those that share them."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated_distinct(sketches: DataFrame, name: str = "n_distinct") -> DataFrame:
+    """Estimates of sketches: with 14 bits the standard error is 0.6 per cent."""
+    return sketches.withColumn(name, F.hll_sketch_estimate("sketch")).drop("sketch")

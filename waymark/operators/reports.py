@@ -76,10 +76,39 @@ def stratified(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], fla
     return rows.groupBy(*keys).agg(*out)
 
 
-def best_per_group(table: DataFrame, group: Sequence[str], metrics: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
-    """Adds best_<metric>: within a tolerance of the group's greatest."""
+def best_per_group(table: DataFrame, group: Sequence[str], metrics: Sequence[str], tolerance: float = 1e-6, lower: Sequence[str] = ()) -> DataFrame:
+    """Adds best_<metric>: within a tolerance of the group's greatest, of its least for the metrics in ``lower``."""
     w = Window.partitionBy(*group)
-    return table.withColumns({f"best_{m}": F.abs(F.col(m) - F.max(m).over(w)) < tolerance for m in metrics})
+    best = lambda m: (F.min if m in lower else F.max)(m).over(w)
+    return table.withColumns({f"best_{m}": F.abs(F.col(m) - best(m)) < tolerance for m in metrics})
+
+
+def six_metrics(by_k: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
+    """A row for each key: mean of each metric over k and its degradation (delta_<metric>, three
+    decimals; the greatest, which is nearest to no loss, is the best), with best_<column> among the rows
+    of the first key."""
+    table = averaged_with_degradation(by_k, keys, metrics)
+    table = table.withColumns({f"delta_{m}": round3(F.col(f"delta_{m}")) for m in metrics})
+    return best_per_group(table, keys[:1], [*metrics, *(f"delta_{m}" for m in metrics)])
+
+
+def grade_lines(rows: DataFrame, model: str, method: str, reference: str, true: str = "true_grade", predicted: str = "pred_grade") -> DataFrame:
+    """(model, line, position, mean, std, n, se, low, high): in one frame for each model but the
+    reference the students' own line, each method's and the reference model's.
+
+    Rows are those of ``with_position`` with grades of 0 to 100; each row serves its lines by an
+    explode, so one aggregation makes all of them.
+    """
+    models = [r[0] for r in rows.where(F.col(model) != reference).select(model).distinct().limit(1001).collect()]
+    if len(models) > 1000:
+        raise ValueError("a report of over 1,000 models isn't a report")
+    line = lambda name, grade: F.struct(name.alias("line"), (grade / 100.0).alias("grade"))
+    own = rows.where(F.col(model) != reference).select(F.col(model).alias("of"), "position", F.explode(F.array(line(F.lit("student"), F.col(true)), line(F.col(method), F.col(predicted)))).alias("x"))
+    of_all = rows.where(F.col(model) == reference).select("position", line(F.lit(reference), F.col(predicted)).alias("x"))
+    made = progression(own.select(F.col("of").alias("model"), "position", "x.line", "x.grade"), ["model", "line", "position"], "grade")
+    known = progression(of_all.select("position", "x.line", "x.grade"), ["line", "position"], "grade")
+    each = F.explode(F.array(*map(F.lit, models)).cast("array<string>"))  # the reference's line beside each model's
+    return made.unionByName(known.withColumn("model", each))
 
 
 def with_position(rows: DataFrame, keys: Sequence[str] = ("student_id", "problem_id")) -> DataFrame:

@@ -61,10 +61,39 @@ def diff_round_trip(spark, sf_dir):
     return rows.select("event_id", (F.rtrim(C.udf("apply_diff")("a", "d"), F.lit("\n")) == F.rtrim("b", F.lit("\n"))).alias("same"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, event_id % 4 AS kind, floor(value / 100)::BIGINT::VARCHAR AS t FROM events), c AS (
+SELECT event_id, unnest(CASE kind
+  WHEN 1 THEN [{'hunk': 0, 'old_start': 3, 'place': 0, 'op': '-', 'line': 'a2 = ' || t}, {'hunk': 0, 'old_start': 3, 'place': 1, 'op': '+', 'line': '--c2 = ' || t}]
+  WHEN 2 THEN [{'hunk': 0, 'old_start': 1, 'place': 0, 'op': '-', 'line': 'a0 = ' || t}, {'hunk': 0, 'old_start': 1, 'place': 1, 'op': '+', 'line': 'b0 = ' || t}, {'hunk': 1, 'old_start': 6, 'place': 0, 'op': '-', 'line': 'a5 = ' || t}]
+  WHEN 3 THEN [{'hunk': 0, 'old_start': 6, 'place': 0, 'op': '+', 'line': 'z = ' || t}] ELSE [] END) AS x FROM e)
+SELECT event_id, x.hunk::INTEGER AS hunk, x.old_start::INTEGER AS old_start, x.place::INTEGER AS place, x.op AS op, x.line AS line FROM c""")
 def diff_hunks(spark, sf_dir):
-    rows = _programs(spark, sf_dir).withColumn("d", C.udf("unified_diff")("a", "b"))
-    return rows.select("event_id", F.explode(C.udf("parse_diff")("d")).alias("h")).select("event_id", "h.old_start", F.size("h.changes").alias("n_changes"))
+    """Changes of generated diffs as rows: none, a line replaced, one replaced and one gone, one added."""
+    t, kind = F.floor(F.col("value") / 100).cast("long").cast("string"), F.col("event_id") % 4
+    line = lambda name: F.concat(F.lit(f"{name} = "), t, F.lit("\n"))
+    text = lambda *names: F.concat(*map(line, names))
+    a = text("a0", "a1", "a2", "a3", "a4", "a5")
+    b = F.when(kind == 1, text("a0", "a1", "--c2", "a3", "a4", "a5")).when(kind == 2, text("b0", "a1", "a2", "a3", "a4")).when(kind == 3, text("a0", "a1", "a2", "a3", "a4", "a5", "z")).otherwise(a)
+    rows = table(spark, sf_dir, "events").select("event_id", C.udf("unified_diff")(a, b).alias("d"))
+    return C.with_diff_changes(rows, "d").drop("d")
+
+
+#: Of loops over range(N): the same, another N, a print more after it.
+_PAIRS = "(SELECT event_id, event_id % 3 AS kind FROM events)"
+
+
+@query(f"""SELECT event_id, [0, 1, 4][kind + 1]::DOUBLE AS token_edits, [0.0, 1.0 / 14, 4.0 / 18][kind + 1]::DOUBLE AS token_distance, [0.0, 1.0 / 14, 4.0 / 14][kind + 1]::DOUBLE AS token_edits_over_source,
+  [0, 0, 5][kind + 1]::DOUBLE AS tree_edits, [0.0, 0.0, 5.0 / 19][kind + 1]::DOUBLE AS tree_distance, [0.0, 0.0, 5.0 / 14][kind + 1]::DOUBLE AS tree_edits_over_source, [0.0, 0.2, 1.0 / 11][kind + 1]::DOUBLE AS rouge_distance,
+  [0.0, 0.5, 1.0 / 9][kind + 1]::DOUBLE AS rouge2_distance, [0.0, 0.2, 1.0 / 11][kind + 1]::DOUBLE AS rouge_l_distance, [0.0, 0.2, 1.0 / 11][kind + 1]::DOUBLE AS rouge_lsum_distance, [1.0, 22.0 / 24, 24.0 / 28][kind + 1]::DOUBLE AS token_similarity FROM {_PAIRS}""")
+def known_distances(spark, sf_dir):
+    """Distances of programs whose differences are known."""
+    n, kind = F.floor(F.col("value") / 100).cast("long"), F.col("event_id") % 3
+    loop = lambda number: F.concat(F.lit("for i in range("), number.cast("string"), F.lit("):\n    print(i)\n"))
+    b = F.when(kind == 1, loop(n + 1)).when(kind == 2, F.concat(loop(n), F.lit("print(0)\n"))).otherwise(loop(n))
+    pairs = table(spark, sf_dir, "events").select("event_id", loop(n).alias("a"), b.alias("b"))
+    names = ["token_edits", "token_distance", "token_edits_over_source", "tree_edits", "tree_distance", "tree_edits_over_source", "rouge_distance", "rouge2_distance", "rouge_l_distance", "rouge_lsum_distance", "token_similarity"]
+    distinct = pairs.select("a", "b").distinct().select("a", "b", *(C.udf(x)("a", "b").alias(x) for x in names))
+    return pairs.join(distinct, ["a", "b"]).drop("a", "b")
 
 
 @query()
@@ -78,7 +107,13 @@ def codebleu(spark, sf_dir):
     return _programs(spark, sf_dir).select("event_id", C.udf("codebleu")("a", "b").alias("codebleu"))
 
 
-@query()
+@query("""WITH p AS (SELECT event_id, 'x' || event_id % 7 AS x, floor(value / 100)::BIGINT::VARCHAR AS n, event_id % 11 = 0 AS broken FROM events),
+t AS (SELECT *, [x, '=', 'f', '(', n, ')', 'print', '(', x, ')'] || CASE WHEN broken THEN ['if', ':'] ELSE [] END AS rest FROM p)
+SELECT event_id, ['def', 'f', '(', 'a', ')', ':', 'return', 'a', '+', '1'] || rest AS plain, ['def', 'f', '(', 'a', ')', ':', '    ', 'return', 'a', '+', '1', ''] || rest AS indented,
+  CASE WHEN NOT broken THEN 'def f(a):
+    return a + 1
+' || x || ' = f(' || n || ')
+print(' || x || ')' END AS printed, CASE WHEN NOT broken THEN 23.0::DOUBLE END AS size FROM t""")
 def python_tokens(spark, sf_dir):
     return _programs(spark, sf_dir).select("event_id", C.udf("tokens_with_comments")("a").alias("plain"), C.udf("tokens_with_indents")("a").alias("indented"), C.udf("reprinted")("a").alias("printed"), C.udf("tree_size")("a").alias("size"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import code as C
 from ..functions import metrics as M
+from ..functions import text as X
 from ..operators import reports as R
 from .fixtures import DETAILED, ROLLOUT, detailed, rollout_rows, table
 from .registry import query
@@ -68,6 +70,55 @@ def best_per_group(spark, sf_dir):
     return R.best_per_group(_by_k(spark, sf_dir), ["model"], ["coverage"]).select("model", "method", "k", "coverage", "best_coverage")
 
 
+_SIX = (*_ALL, *(f"delta_{m}" for m in _ALL))
+
+
+@query(f"WITH {_BY_K}, {_DELTA}, m AS (SELECT model, method, {', '.join(f'round_even(round(avg({m}), 9), 3) AS {m}' for m in _ALL)} FROM by_k GROUP BY ALL), t AS (SELECT model, method, {', '.join(_ALL)}, {', '.join(f'round_even(round(delta_{m}, 9), 3) AS delta_{m}' for m in _ALL)} FROM m LEFT JOIN d USING (model, method)) SELECT *, {', '.join(f'abs({m} - max({m}) OVER (PARTITION BY model)) < 1e-6 AS best_{m}' for m in _SIX)} FROM t")
+def six_metric_table(spark, sf_dir):
+    """Means and degradations of three metrics, with the best of each model marked."""
+    return R.six_metrics(_by_k(spark, sf_dir), ["model", "method"])
+
+
+@query(f"WITH {DETAILED} SELECT model, CASE student_id % 2 WHEN 0 THEN 'dual' ELSE 'code' END AS format, ['base', 'lora', 'full'][student_id % 3 + 1] AS training, method, k::INTEGER AS k, count(*)::BIGINT AS n_rows, round_even(round(sum(has_valid_pair)::DOUBLE / sum(has_ground_truth), 9), 3) AS coverage, round_even(round(avg(grade_proximity), 9), 3) AS grade_proximity FROM detailed GROUP BY ALL")
+def coverage_by_training(spark, sf_dir):
+    """Aggregates by model, format of submissions, kind of training, method and k."""
+    rows = detailed(spark, sf_dir).withColumn("format", F.when(F.col("student_id") % 2 == 0, "dual").otherwise("code"))
+    rows = rows.withColumn("training", F.element_at(F.array(*map(F.lit, ("base", "lora", "full"))), (F.col("student_id") % 3 + 1).cast("int")))
+    return R.coverage_by(rows, ["model", "format", "training", "method", "k"])
+
+
+@query(f"""WITH {ROLLOUT}, p AS (SELECT *, round_even((k + step - 1)::DOUBLE / greatest(max(k + step - 1) OVER (PARTITION BY user_id, problem_id), 1) * 10, 0) / 10 AS position, CASE WHEN code NOT IN ('', 'exit()') THEN grade END AS pred FROM rollouts),
+lines AS (SELECT model, 'student' AS line, position, student_grade / 100 AS g FROM p WHERE model <> 'm1' UNION ALL SELECT model, method, position, pred / 100 FROM p WHERE model <> 'm1' UNION ALL SELECT m.model, 'm1', position, pred / 100 FROM p JOIN (SELECT DISTINCT model FROM p WHERE model <> 'm1') m ON true WHERE p.model = 'm1')
+SELECT model, line, position, count(g)::BIGINT AS n, round(avg(g), 9) AS mean, round(stddev_samp(g) / sqrt(count(g)), 9) AS se FROM lines WHERE g IS NOT NULL GROUP BY ALL""")
+def grade_progression(spark, sf_dir):
+    """Grades along the trajectory: students, methods and the reference model m1 in one frame."""
+    rows = rollout_rows(spark, sf_dir).withColumnsRenamed({"k": "starting_position", "step": "k"})
+    answered = ~X.is_recording(F.col("code"))
+    rows = R.with_position(rows.withColumn("pred_grade", F.when(answered, F.col("grade"))), ["user_id", "problem_id"])
+    out = R.grade_lines(rows, "model", "method", "m1", true="student_grade")
+    return out.select("model", "line", "position", "n", F.round("mean", 9).alias("mean"), F.round("se", 9).alias("se"))
+
+
+#: BLEU of two loops over range(N) that differ in N alone, and its form that weighs keywords: 14 tokens, N the sixth.
+_LOOP = "exp((ln({} / {}) + ln(12.0::DOUBLE / 14) + ln(10.0::DOUBLE / 13) + ln(8.0::DOUBLE / 12)) / 4)"
+_NGRAM, _WEIGHTED = _LOOP.format("13.0::DOUBLE", 14), _LOOP.format("4.2::DOUBLE", 4.4)
+
+
+@query(f"""WITH {ROLLOUT}, s AS (SELECT method, step, code = student_code AS same FROM rollouts WHERE code NOT IN ('', 'exit()') AND student_code <> '')
+SELECT method, step::INTEGER AS k, count(*)::BIGINT AS n, round(avg(CASE WHEN same THEN 1 ELSE {_NGRAM} END), 9) AS ngram, round(avg(CASE WHEN same THEN 1 ELSE {_WEIGHTED} END), 9) AS weighted, 1.0::DOUBLE AS tree, 1.0::DOUBLE AS flow,
+  round(avg(CASE WHEN same THEN 1 ELSE ({_NGRAM} + {_WEIGHTED} + 2) / 4 END), 9) AS codebleu FROM s GROUP BY ALL""")
+def kstep_codebleu(spark, sf_dir):
+    """CodeBLEU and its parts of the programs of rollouts, by method and k.  Each distinct pair of
+    programs is compared once."""
+    program = lambda c: F.concat(F.lit("for i in range("), F.col(c), F.lit("):\n    print(i)\n"))
+    rows = R.k_step_metrics(rollout_rows(spark, sf_dir)).where("has_valid_pair = 1").select("method", F.col("step").alias("k"), program("student_code").alias("true"), program("code").alias("made"))
+    counts = rows.groupBy("method", "k", "true", "made").agg(F.count("*").alias("c"))
+    pairs = counts.select("true", "made").distinct().withColumn("p", C.udf("codebleu_parts")("true", "made"))
+    parts = counts.join(pairs, ["true", "made"]).select("method", "k", "c", "p.*").withColumn("codebleu", (F.col("ngram") + F.col("weighted") + F.col("tree") + F.col("flow")) / 4)
+    mean = lambda m: F.round(F.sum(F.col(m) * F.col("c")) / F.sum("c"), 9).alias(m)
+    return parts.groupBy("method", "k").agg(F.sum("c").alias("n"), *map(mean, ("ngram", "weighted", "tree", "flow", "codebleu")))
+
+
 _POS = f"""{DETAILED}, placed AS (SELECT *, starting_position + k - 1 AS absolute_position, (starting_position + k - 1)::DOUBLE / greatest(max(starting_position + k - 1) OVER (PARTITION BY student_id, problem_id), 1) AS share FROM detailed)"""
 
 

@@ -209,3 +209,12 @@ def projections(spark, sf_dir):
 @query("SELECT CASE r_name WHEN 'ASIA' THEN 'Far East' ELSE r_name END AS r_name, r_regionkey FROM region")
 def replaced_values(spark, sf_dir):
     return table(spark, sf_dir, "region").replace({"ASIA": "Far East"}, subset=["r_name"]).select("r_name", "r_regionkey")
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey)::BIGINT AS n_parts, true AS near FROM lineitem GROUP BY 1")
+def distinct_sketches(spark, sf_dir):
+    """Sketches by flag and status, united by flag, within three per cent of the exact counts."""
+    rows = table(spark, sf_dir, "lineitem")
+    united = R.estimated_distinct(R.united_sketches(R.distinct_sketches(rows, ["l_returnflag", "l_linestatus"], "l_partkey"), ["l_returnflag"]))
+    exact = rows.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n_parts"))
+    return exact.join(united, "l_returnflag").select("l_returnflag", "n_parts", (F.abs(F.col("n_distinct") / F.col("n_parts") - 1) < 0.03).alias("near"))

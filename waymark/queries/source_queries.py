@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import folder
+from ..checkpoints import folder, remove
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import reports
@@ -80,16 +80,30 @@ def appended_rounds(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("SELECT unnest(range(3))::INTEGER AS place, ['base', 'sft', 'dpo'][place + 1] AS task, 3::INTEGER AS id, 2::INTEGER AS n_datasets")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey::VARCHAR AS name, CASE WHEN c_custkey > 0 THEN (c_custkey // 3)::VARCHAR ELSE 'origin' END AS base, c_mktsegment AS task FROM customer), w AS (
+  SELECT name, base, [task] AS chain FROM e UNION ALL SELECT w.name, e.base, list_prepend(e.task, w.chain) FROM w JOIN e ON e.name = w.base)
+SELECT name, base AS origin, chain FROM w WHERE base NOT IN (SELECT name FROM e)""")
+def experiment_chains(spark, sf_dir):
+    """Experiments that each start from another's model: all training chains in one recursion."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"), F.when(F.col("c_custkey") > 0, F.expr("c_custkey div 3").cast("string")).otherwise("origin").alias("base"), F.col("c_mktsegment").alias("task"))
+    return readers.training_chains(rows)
+
+
+@query("""SELECT (SELECT count(*) FROM nation)::INTEGER AS id, r_regionkey AS place, lower(r_name) AS task, (SELECT count(*) FROM nation WHERE n_regionkey = 1)::INTEGER AS n_datasets FROM region""")
 def composed_settings(spark, sf_dir):
-    """A configuration composed of written files, its training chain read from the nested models."""
-    root = _place(spark)
-    model = {"task": {"name": "dpo"}, "model": {"task": {"name": "sft"}, "model": {"task": {"name": "base"}}}}
-    for name, settings in {"saved/0.json": {}, "saved/1.json": {}, "saved/2.json": {}, "data/d1.json": {"n": 1}, "data/d2.json": {"n": 2}, "model.json": model}.items():
-        sinks.write_settings(spark, settings, f"{root}/{name}")
-    made = readers.compose_experiment(spark, "x", f"{root}/saved", [f"{root}/data/d*.json"], model=f"{root}/model.json")
+    """An experiment composed of files that rows of tables were written to: a saved experiment for
+    each nation, a dataset for each nation of a region, a chain of models as long as there are regions."""
+    root, model = _place(spark), {}
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        model = {"task": {"name": r["r_name"].lower()}, "model": model}
+    sinks.write_settings(spark, model, f"{root}/model.json")
+    for n in table(spark, sf_dir, "nation").collect():
+        sinks.write_settings(spark, {}, f"{root}/saved/{n['n_nationkey']}.json")
+        sinks.write_settings(spark, {"n": n["n_nationkey"]}, f"{root}/data/{n['n_regionkey']}_{n['n_nationkey']}.json")
+    made = readers.compose_experiment(spark, "x", f"{root}/saved", [f"{root}/data/1_*.json"], model=f"{root}/model.json")
+    remove(spark, root)
     chain = list(enumerate(readers.training_chain(made["model"])))
-    return spark.createDataFrame([(i, task, made["id"], len(made["dataset"])) for i, task in chain], "place int, task string, id int, n_datasets int")
+    return spark.createDataFrame([(made["id"], i, task, len(made["dataset"])) for i, task in chain], "id int, place int, task string, n_datasets int")
 
 
 @query("SELECT n_name, n_nationkey FROM nation")

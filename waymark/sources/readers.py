@@ -38,11 +38,12 @@ def decode_messages(text: Column) -> Column:
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "*.parquet", excluding: str | None = None) -> DataFrame:
-    """All files of a name below a folder, with their path in ``source_file``; paths that
-    contain a text are left out."""
+    """All files of a name below a folder, with their path in ``source_file``; files in a folder whose
+    path contains a text, in whatever case, are left out."""
     data = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(root)
     data = data.withColumn("source_file", F.col("_metadata.file_path"))
-    return data.where(~F.contains("source_file", F.lit(excluding))) if excluding else data
+    folder = F.lower(F.regexp_replace("source_file", "/[^/]*$", ""))
+    return data.where(~F.contains(folder, F.lit(excluding.lower()))) if excluding else data
 
 
 def read_inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -105,3 +106,22 @@ def compose_experiment(spark: SparkSession, name: str, saved: str, datasets: Seq
     except ValueError:
         existing = 0
     return compose_config(read, name, existing)
+
+
+def training_chains(experiments: DataFrame, name: str = "name", base: str = "base", task: str = "task") -> DataFrame:
+    """(name, origin, chain) of each experiment: the tasks from the oldest on, and the model that
+    the oldest started from.
+
+    ``base`` names the experiment that one starts from, or a model that none is.  One recursive
+    query follows all experiments a step at a time, up to Spark's limits on the depth (100)
+    and the rows of a recursion; a circle of experiments ends at the former with an error.  Names are unique; a null name or base ends a chain.
+    """
+    rows = experiments.select(F.col(name).cast("string").alias("name"), F.col(base).cast("string").alias("base"), F.col(task).cast("string").alias("task"))
+    walked = experiments.sparkSession.sql("""
+        WITH RECURSIVE chain (name, place, task, origin) AS (
+          SELECT name, 0, task, base FROM {rows} WHERE name IS NOT NULL
+          UNION ALL
+          SELECT c.name, c.place + 1, r.task, r.base FROM chain c JOIN {rows} r ON c.origin = r.name
+        ) SELECT * FROM chain""", rows=rows)
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("place"), F.col("task"))))
+    return walked.groupBy("name").agg(F.max_by("origin", "place").alias("origin"), steps["task"].alias("chain"))
