@@ -81,14 +81,29 @@ def test_cross_entropy_of_words(spark):
 
 @pytest.mark.parametrize("unbroadcast", [False, True])
 def test_a_small_language_keeps_its_quantiles(spark, monkeypatch, unbroadcast):
-    """40 documents of a language among 60,000 are enough, as they are among 100."""
+    """A language goes over to its own quantiles row by row; what the others weigh doesn't
+    depend on how many documents they have."""
     if unbroadcast:
         monkeypatch.setattr(kn, "small", lambda df: df)
-    rows = spark.range(60_000).select(F.when(F.col("id") < 40, "small").when(F.col("id") < 60, "tiny").otherwise("big").alias("lang"), F.lit(2).alias("length_class"))
-    rows = rows.withColumn("value", F.when(F.col("lang") == "small", 3.0).otherwise(1.0))
-    found = kn.quantiles(rows, "lang", {"value": {"mid": 0.5}})
-    have = kn.with_quantiles(rows, "lang", found, ["mid"]).groupBy("lang").agg(F.min("mid").alias("a"), F.max("mid").alias("b"), F.count("*").alias("n")).collect()
-    assert {r["lang"]: (round(r["a"], 2), round(r["b"], 2), r["n"]) for r in have} == {"small": (3.0, 3.0, 40), "tiny": (1.0, 1.0, 20), "big": (1.0, 1.0, 59_940)}
+    def medians(sizes, big):
+        cells = F.when(F.col("id") < sum(sizes), F.lit("")).otherwise("big")
+        upto = 0
+        for i, n in enumerate(sizes):
+            cells = F.when((F.col("id") >= upto) & (F.col("id") < upto + n), F.lit(f"l{i}")).otherwise(cells)
+            upto += n
+        rows = spark.range(upto + big).select(cells.alias("lang"), F.lit(2).alias("length_class"))
+        rows = rows.withColumn("value", F.when(F.col("lang") == "big", 1.0).otherwise(3.0))
+        found = kn.quantiles(rows, "lang", {"value": {"mid": 0.5}})
+        have = kn.with_quantiles(rows, "lang", found, ["mid"]).groupBy("lang").agg(F.min("mid").alias("a"), F.max("mid").alias("b"), F.count("*").alias("n")).collect()
+        assert sum(r["n"] for r in have) == upto + big and all(r["a"] == r["b"] for r in have)
+        return {r["lang"]: r["a"] for r in have}
+
+    sizes = [1, 2, 20, 29, 30, 40]
+    found = medians(sizes, 60_000)
+    assert found["big"] == pytest.approx(1.0, abs=0.01)
+    for i, n in enumerate(sizes):
+        assert found[f"l{i}"] == pytest.approx((3.0 * n + 1.0) / (n + 1), abs=0.01)
+    assert medians([40], 100)["l0"] == pytest.approx(found["l5"], abs=0.01)
 
 
 def test_junk_of_a_length_without_trusted_texts_is_rejected(spark):

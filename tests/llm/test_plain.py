@@ -115,7 +115,9 @@ def test_classifier_by_definition(spark):
         mine = [i for i in range(50) if side[i] == h]
         for i, log in zip(mine, _scores([text[i] for i in range(50) if side[i] != h], [text[i] for i in mine])):
             ppl[i] = -log / len(text[i])
-    limit = sorted(math.floor(v / kn.GRID) for v in ppl.values())[math.ceil(0.999 * 50) - 1] * kn.GRID
+    grid = sorted(math.floor(v / kn.GRID) for v in ppl.values())
+    middle, far = grid[math.ceil(0.5 * 50) - 1], grid[math.ceil(quality_lm.LEVEL * 50) - 1]
+    limit = (middle + quality_lm.REACH * (far - middle)) * kn.GRID
     final = [-s / len(t) for s, t in zip(_scores([text[i] for i in range(50)], list(text.values())), text.values())]
     out = {r["doc_id"]: r for r in quality_lm.classify(docs, labels).collect()}
     for (i, _), v in zip(text.items(), final):

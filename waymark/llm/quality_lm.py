@@ -1,18 +1,21 @@
 """Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
 
 The trusted documents are dealt to two halves by a hash of their ids.  A model of each half
-scores the other, and a document is rejected if the model of all finds it above the 0.999
-quantile of those scores in its language and length: of trusted texts that a model hasn't
-seen, one in a thousand would go.
+scores the other, and a document is rejected if the model of all finds it too far above those
+scores in its language and length: beyond the median by more than REACH times the distance from
+the median to the 0.9 quantile.  Both are quantiles that some ten scores determine, unlike one
+far out in the tail, which is the maximum of a small cell and hangs on one odd text.
 
 The distinct n-grams of some documents, sorted, meet the shards of the finished count table
 one after another (``kneser_ney.Scorer``); the shards are broadcast, as at most 2**24
 n-grams exist, and no text or n-gram of a document is shuffled.
 
-Defined results: a null or empty text has a null perplexity and is rejected; a language
-without enough trusted documents uses the quantiles of all, a length without any those of
-all lengths; without any trusted text nothing but empty texts is rejected; every input row
-gives one row.
+Defined results: a null or empty text has a null perplexity and is rejected; a language of few
+trusted documents of a length leans on the quantiles of all (``kneser_ney.quantiles``), a
+length without any has those of all lengths; without any trusted text nothing but empty texts is rejected; every input row
+gives one row.  A null id is never trusted; ids that repeat are trusted as often as they stand.  Texts
+are scored in pieces of a million characters; other columns are kept by ``keep``, where one named
+``_waymark_words``, ``_waymark_log`` or ``_waymark_length`` raises, and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from . import kneser_ney as kn
 from .session import append_columns, cut, prepare
 from .textops import batch, word_count
 
-LEVEL = 0.999
+LEVEL, REACH = 0.9, 3.0
 #: The model is fitted to at most this many trusted documents, those of least hash of id.
 #: Their ids (0.8 MB) are broadcast, so no text is shuffled; the quantiles take all of them.
 MAX_TRUSTED = 100_000
@@ -52,7 +55,7 @@ def half(id_col: str) -> Column:
 class Classifier:
     """A model of trusted text with the thresholds that its halves give each other."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED, level: float = LEVEL, least_docs: int = kn.LEAST_DOCS) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED, level: float = LEVEL, reach: float = REACH) -> None:
         spark = prepare(docs.sparkSession)
         self.columns = (id_col, text_col, lang_col)
         self.docs, self.trusted = docs, trusted_ids(labels)
@@ -61,12 +64,18 @@ class Classifier:
         text = named.join(F.broadcast(chosen), "doc_id", "left_semi")
         table = kn.count_ngrams(text, "text", half("doc_id")).toArrow()
         part, key, n = (table[c].to_numpy() for c in ("part", "key", "n"))
-        halves = [kn.Scorer(spark, kn.model_of(key[part != p], n[part != p])) for p in (0, 1)]
+        del table
+        halves = []
+        for p in (0, 1):  # one model at a time is on the driver
+            halves.append(kn.Scorer(spark, kn.model_of(key[part != p], n[part != p])))
         both, at = np.unique(key, return_inverse=True)
-        self.scorer = kn.Scorer(spark, kn.model_of(both, np.bincount(at, n, len(both)).astype(np.int64)))
+        n = np.bincount(at, n, len(both)).astype(np.int64)
+        del part, key, at
+        self.scorer = kn.Scorer(spark, kn.model_of(both, n))
         # no text moves: all are scored where they lie, then the trusted are told apart
         scored = self._scored(docs, halves).join(self.trusted, "doc_id", "left_semi")
-        self.found = cut(kn.quantiles(scored, "lang", {"log_ppl": {"_waymark_upper": level}}, least_docs))
+        found = kn.quantiles(scored, "lang", {"log_ppl": {"q50": 0.5, "far": level}})
+        self.found = cut(found.withColumn("_waymark_upper", F.col("q50") + reach * (F.col("far") - F.col("q50"))).drop("q50", "far"))
         for scorer in halves:
             scorer.close()
 
