@@ -20,13 +20,30 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_ngrams as wn
+from .bloom import Bloom, positions
 from .session import prepare
 
 
+def texts_of_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of the rows whose id is among some ids (doc_id): texts that a Bloom filter
+    rules out stay where they lie, the others meet the ids in an exact join; both grow, so neither is broadcast."""
+    prepare(docs.sparkSession)
+    bloom = Bloom(ids, "doc_id")
+
+    def hits(batches):
+        for b in batches:
+            yield b.filter(pa.array(bloom.hits(b.column(2)))).select(["doc_id", "text"])
+
+    key = F.col(id_col).cast("long")
+    rows = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"), positions(key).alias("bits"))
+    return rows.mapInArrow(hits, "doc_id long, text string").join(ids.hint("merge"), "doc_id", "left_semi")
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score), losses in nats a character."""
     prepare(docs.sparkSession)

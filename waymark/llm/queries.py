@@ -46,8 +46,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = quality_lm.trusted_ids(table(spark, sf_dir, "labels"))
-    # both sides grow with the corpus, so neither is broadcast at any size
-    target = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted.hint("merge"), "doc_id", "left_semi")
+    target = cross_entropy.texts_of_ids(docs, trusted)
     return cross_entropy.cross_entropy_difference(docs, target)
 
 

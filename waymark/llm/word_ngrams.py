@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import write_out
@@ -175,9 +175,11 @@ def log_probs(texts: list[DataFrame], text: str, scored: DataFrame | None = None
 
     def own(table: DataFrame, context: list[str]) -> DataFrame:
         """Adds own and gamma of each model: the discounted share and the back-off weight."""
-        cuts, group = discounts(table, len(texts)), Window.partitionBy(*context)
+        cuts = discounts(table, len(texts))
         table = table.withColumns({f"cut{m}": _cut(m, cuts) for m in models})
-        table = table.withColumns({f"of{m}": F.sum(f"n{m}").over(group) for m in models} | {f"free{m}": F.sum(f"cut{m}").over(group) for m in models})
+        # summed before the shuffle and joined back: a frequent context's continuations are split, as a window's aren't
+        sums = table.groupBy(*context).agg(*(F.sum(f"{c}{m}").alias(f"{name}{m}") for m in models for c, name in (("n", "of"), ("cut", "free"))))
+        table = table.join(sums.hint("merge"), context)
         some = lambda m, c, other: F.when(F.col(f"of{m}") > 0, c / F.col(f"of{m}")).otherwise(other)
         made = {f"own{m}": some(m, F.col(f"n{m}") - F.col(f"cut{m}"), 0.0) for m in models} | {f"gamma{m}": some(m, F.col(f"free{m}"), 1.0) for m in models}
         return table.withColumns(made).drop(*(f"{c}{m}" for c in ("n", "cut", "of", "free") for m in models))
