@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # --- the document after it ----------------------------------------------------
 
 #: kind 0: a finished row; 1: the first row of a range; 2: its last one, whose successor is elsewhere.
-WALKED = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited binary, next binary, text string"
+WALKED = "kind int, part int, doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited binary, bits_edited int, bits_next int, text string"
 
 
 def edit(text: str, after: str) -> str:
@@ -107,12 +107,12 @@ def edit(text: str, after: str) -> str:
 
 def _compared(ids: list, texts: list[str], prints: list[bytes], after: list[str], nexts: list[bytes]) -> list[list]:
     made = [edit(t, a).encode() for t, a in zip(texts, after)]
-    n = len(ids)
-    return [[0] * n, [0] * n, ids, [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in made], prints, simhash(made), nexts, [None] * n]
+    n, edits = len(ids), simhash(made)
+    return [[0] * n, [0] * n, ids, [len(t) for t in texts], [hashlib.sha256(t).digest() for t in made], prints, edits, differing(prints, edits), differing(prints, nexts), [None] * n]
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.string())
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], [f.split()[0] for f in WALKED.split(", ")])
 
 
@@ -125,13 +125,13 @@ def _walk(batches):
         ids, texts, part = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], b.column(2)[0].as_py()
         prints = simhash([t.encode() for t in texts])
         if held is None:
-            yield _batch([[1], [part], [ids[0]], [len(texts[0])], [None], [prints[0]], [None], [None], [texts[0]]])
+            yield _batch([[1], [part], [ids[0]], [len(texts[0])], [None], [prints[0]], [None], [None], [None], [texts[0]]])
         else:
             ids, texts, prints = [held[0], *ids], [held[1], *texts], [held[2], *prints]
         yield _batch(_compared(ids[:-1], texts[:-1], prints[:-1], texts[1:], prints[1:]))
         held = ids[-1], texts[-1], prints[-1], part
     if held:
-        yield _batch([[2], [held[3]], [held[0]], [len(held[1])], [None], [held[2]], [None], [None], [held[1]]])
+        yield _batch([[2], [held[3]], [held[0]], [len(held[1])], [None], [held[2]], [None], [None], [None], [held[1]]])
 
 
 def _meet(batches):
@@ -142,8 +142,9 @@ def _meet(batches):
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited, next), a row for each row of docs: the
-    fingerprints (binary) of its text, of its edited text and of the next document's."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited, bits_edited, bits_next), a row for each
+    row of docs: digest of the edited text, fingerprints of the text and of the edited one (all
+    binary), and in how many bits the first differs from the second and from the next document's."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("salt"))
     parts = rows.repartitionByRange("doc_id", "h", "salt").sortWithinPartitions("doc_id", "h").select("doc_id", "text", F.spark_partition_id().alias("part"))
@@ -277,6 +278,6 @@ def likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     rows = edited(docs, id_col, text_col)
     classes = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")), 20_000)
     known = classes.join(near(classes, radius), "fingerprint", "left").where("size > 1 or links > 0")
-    alike = lambda a, b: 1 - sum((F.bit_count(F.conv(F.hex(F.substring(a, i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(b, i, 4)), 16, 10).cast("long"))) for i in range(1, BITS // 8, 4)), F.lit(0)) / BITS
+    alike = lambda bits: 1 - F.col(bits) / BITS
     out = rows.join(known, "fingerprint", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited")).alias("edited_fingerprint"), alike("fingerprint", "edited").alias("near_edited"), alike("fingerprint", "next").alias("near_next"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited")).alias("edited_fingerprint"), alike("bits_edited").alias("near_edited"), alike("bits_next").alias("near_next"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
