@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import prepare
-from .textops import cached
+from .textops import cached, trim
 
 NONE = np.int32(1 << 30)
 #: Pieces whose ids a worker remembers between batches: bounds its memory, not its results.
@@ -219,6 +219,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     arrays.append(_binary(encoder.vocabulary, ids, bounds))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        trim()
 
     schema = "doc_id long, ids array<int>" + ", decoded binary" * decoded
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

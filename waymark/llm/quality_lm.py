@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
 from .session import append_columns, cut, prepare
-from .textops import batch, word_count
+from .textops import batch, trim, word_count
 
 LEVEL, REACH = 0.9, 3.0
 #: The model is fitted to at most this many trusted documents, those of least hash of id.
@@ -91,6 +91,7 @@ class Classifier:
                     mine = b if len(scorers) == 1 else b.filter(pa.array(own == p))
                     words, logs = _measure(scorer, [t or "" for t in mine.column(1).to_pylist()])
                     yield batch({"doc_id": mine.column(0), "lang": mine.column(2), "n_words": words, "log_ppl": logs}, schema)
+            trim()
 
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), half(id_col).alias("half"))
         return rows.mapInArrow(run, "doc_id long, lang string, n_words long, log_ppl double").withColumn("length_class", kn.length_class(F.col("n_words")))

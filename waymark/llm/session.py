@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..checkpoints import folder, reliable
 from ..workers import ship
+from .textops import trim
 
 BATCH_ROWS = 4096
 BATCH_BYTES = 16 << 20
@@ -50,6 +51,7 @@ def append_columns(df: DataFrame, columns: list[tuple[str, str]], of: Callable[[
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *of(b)], [*b.schema.names, *(name for name, _ in columns)])
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -7,7 +7,9 @@ characters (space, tab, line feed, vertical tab, form feed, carriage return);
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +137,14 @@ def cached(key: object, make: Callable[[], object]) -> object:
 def release() -> None:
     """Let go of what an operator before has cached in this worker."""
     _Slot.key = _Slot.value = None
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: a worker lives on after its task, beside others."""
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # of the GNU C library alone
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
