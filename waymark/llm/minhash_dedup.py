@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bloom import Bloom, positions
 from .graph import components
 from .session import append_columns, cut, prepare
-from .textops import chunks, mix, release, shingle_hashes, texts_of, word_hashes
+from .textops import chunks, mix, release, shingle_hashes, texts_of, word_hashes, trim
 
 SHINGLE, PERCENT = 5, 80
 ROWS, GROUPS = 3, 10
@@ -103,6 +103,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 ends = np.concatenate(([0], np.cumsum((sizes > 0) * 2 * GROUPS))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(groups.reshape(-1).view(np.int64)), mask=pa.array(sizes == 0))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists], ["doc_id", "n_shingles", "set_a", "set_b", "groups"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, groups array<long>")
 
@@ -125,6 +126,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
                 sets = [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([names.slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
+        trim()
 
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), positions(key).alias("bits"))
@@ -201,6 +203,8 @@ def _tiles(percent: int):
                 held = [held[-1].slice(last)]
         if held:
             yield from work(pa.concat_tables(held))
+        held.clear()
+        trim()
 
     def work(rows: pa.Table):
         rows = rows.combine_chunks()

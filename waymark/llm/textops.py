@@ -141,7 +141,9 @@ def release() -> None:
 
 
 def trim() -> None:
-    """Give memory that is free back to the system: a worker lives on after its task, beside others."""
+    """Give memory back to the system: a worker lives on after its task, beside others."""
+    global _powers
+    _powers = None
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # of the GNU C library alone
         ctypes.CDLL(None).malloc_trim(0)
