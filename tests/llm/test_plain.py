@@ -181,6 +181,29 @@ def test_license_awkward(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_many_like_templates(spark):
+    """Templates with minhashes in common, under two names too, are each found; none, no matches."""
+    base = [f"clause{i} of the licence that grants use and takes away warranty{i % 7} for all time{i // 3}" for i in range(40)]
+    templates = {f"t{i}": text for i, text in enumerate(base)} | {f"again{i}": text for i, text in enumerate(base)}
+    templates |= {f"longer{i}": f"{text} and one more" for i, text in enumerate(base)}
+    rows = [(i, f"before it {text} and after") for i, text in enumerate(base)] + [(100, " ".join(f"{t} x{k}" for k, t in enumerate(base)))]
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    want = {(d, n) for d, text in rows for n, t in templates.items() if len(grams(t) & grams(text)) >= 0.8 * len(grams(t))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(docs, templates).collect()} == want
+    assert len(want) >= 240
+    assert license_scan.scan_licenses(docs, {}).count() == 0
+
+
+def test_parts_of_licences(spark):
+    """A later part alone, with other line breaks and comment signs, names its licence."""
+    part = lambda name: "\n# ".join(license_scan.TEMPLATES[name].split())
+    names = ["mit-warranty", "bsd-warranty", "apache-2-grant", "zlib", "lgpl-2.1-header", "agpl-3-header", "epl-2-header", "cc0-notice"]
+    rows = [(i, f"some code here\n# {part(name)}\nmore code") for i, name in enumerate(names)]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("containment = 1").collect()
+    assert sorted((r["doc_id"], r["license"]) for r in found) == list(enumerate(names))
+
+
 # --- 7 toxicity -----------------------------------------------------------------
 
 
