@@ -214,11 +214,6 @@ def test_script(testcase: Column, drop: list[str], call: str) -> Column:
     return F.concat(strip(testcase), F.lit("\n" + call))
 
 
-def summative_feedback(feedback: Column) -> Column:
-    """The whole text of a feedback: its summative part isn't cut off."""
-    return feedback
-
-
 #: Own wording; formats are those of ``experiment_format``.
 SYSTEM_PROMPTS = {
     "code": "You are a learner of programming. Answer with your next program in a python fence.",

@@ -183,6 +183,27 @@ def rollout_budget(spark, sf_dir):
     return out.select(*KEYS, "k", "step", "code", "over_budget")
 
 
+@query(f"""WITH {ROLLOUT}, seen AS (
+  SELECT user_id, problem_id, k, step, CASE step WHEN 1 THEN least(k, 5) WHEN 2 THEN least(k + 2, 5) ELSE 4 END AS n,
+    CASE WHEN step = 1 AND k > 2 THEN greatest(2, k - 3) WHEN step = 2 AND k > 2 THEN k - 1 END AS third FROM grid WHERE step <= 3),
+answers AS (SELECT g.*, printf('%d.%03d', n, coalesce(s.code::BIGINT, 0)) AS code FROM seen g LEFT JOIN steps s ON s.user_id = g.user_id AND s.problem_id = g.problem_id AND s.seq = g.third)
+SELECT user_id, problem_id, k::INTEGER AS k, step::INTEGER AS step, code, code::DOUBLE * 2 AS grade, false AS over_budget FROM answers""")
+def rollout_shortened(spark, sf_dir):
+    """A rollout whose prompts are shortened and then answered: each turn costs two of eleven.
+
+    The stand-in answers with the number of messages that it was shown and with the program in
+    the third, the oldest that the shortening left after the two first (0 if it is its own).
+    """
+
+    def predict(conversations: list[list[dict]]) -> list[str]:
+        third = [ms[2]["content"] if len(ms) > 2 else "" for ms in conversations]
+        number = ["" if "." in text else "".join(c for c in text if c.isdigit()) for text in third]
+        return [f"```python\n{len(ms)}.{int(n or 0):03d}\n```" for ms, n in zip(conversations, number)]
+
+    out = _rollout(spark, sf_dir, predict, budget=11, tokens=lambda content: F.lit(2))
+    return out.select(*KEYS, "k", "step", "code", "grade", "over_budget")
+
+
 @query("SELECT n_nationkey, n_nationkey::DOUBLE AS grade, n_name AS said FROM nation")
 def grade_run(spark, sf_dir):
     """Programs run in processes of their own: each prints its nation's name, its test compares."""
