@@ -66,6 +66,25 @@ def test_chains_of_experiments(spark):
         training_chains(spark.createDataFrame([("a", "b", "x"), ("b", "a", "y")], "name string, base string, task string")).collect()
 
 
+def test_chains_of_any_depth_and_number(spark):
+    """Deeper than a recursion goes, and more steps in all than the million that it may return."""
+    from waymark.sources.readers import training_chains
+
+    n, e = 130, F.col("id")
+    rows = spark.range(0, n * 130, 1, 2).select(e.cast("string").alias("name"), F.when(e % n > 0, (e - 1).cast("string")).otherwise("origin").alias("base"), (e % n).cast("string").alias("task"))
+    found = training_chains(rows).select("name", "origin", F.size("chain").alias("n"), (F.array_join("chain", ",") == F.array_join(F.transform(F.sequence(F.lit(0), F.size("chain") - 1), lambda x: x.cast("string")), ",")).alias("same")).collect()
+    assert len(found) == n * 130 and all(r["n"] == int(r["name"]) % n + 1 and r["same"] and r["origin"] == "origin" for r in found)
+
+
+def test_a_circle_raises_before_its_chain_grows(spark, monkeypatch):
+    from waymark.sources import readers
+
+    monkeypatch.setattr(readers, "CHECKED", 1)
+    rows = [(str(i), str((i + 1) % 7), "x") for i in range(7)] + [("in", "3", "x")]
+    with pytest.raises(ValueError, match="circle"):
+        readers.training_chains(spark.createDataFrame(rows, "name string, base string, task string").coalesce(1))
+
+
 def test_changes_of_diffs_as_rows(spark):
     from waymark.functions import code as C
 

@@ -84,7 +84,7 @@ def appended_rounds(spark, sf_dir):
   SELECT name, base, [task] AS chain FROM e UNION ALL SELECT w.name, e.base, list_prepend(e.task, w.chain) FROM w JOIN e ON e.name = w.base)
 SELECT name, base AS origin, chain FROM w WHERE base NOT IN (SELECT name FROM e)""")
 def experiment_chains(spark, sf_dir):
-    """Experiments that each start from another's model: all training chains in one recursion."""
+    """Experiments that each start from another's model: all training chains, doubled at once."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"), F.when(F.col("c_custkey") > 0, F.expr("c_custkey div 3").cast("string")).otherwise("origin").alias("base"), F.col("c_mktsegment").alias("task"))
     return readers.training_chains(rows)
 
