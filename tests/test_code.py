@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from waymark.functions import code as C
 
@@ -73,3 +74,27 @@ def test_grading_rows(spark):
 
     rows = spark.createDataFrame([(1, "x = 2", "score = 100"), (2, "x = (", "score = 100"), (3, None, None)], "id int, code string, testcase string")
     assert {r["id"]: r["new_grade"] for r in grade_programs(rows, ["id"]).collect()} == {1: 100.0, 2: 0.0, 3: 0.0}
+
+
+def test_a_repeated_program_is_worked_on_once(monkeypatch):
+    calls = []
+    known = C._Known(lambda *row: calls.append(row) or len(row[0]))
+    assert [known(x, y) for x, y in [("a", "b"), ("a", "b"), ("a", "c"), ("a", "b")]] == [1] * 4 and calls == [("a", "b"), ("a", "c")]
+    monkeypatch.setattr(C, "HELD", 1000)
+    assert [known(f"{i % 50}", "x" * 100) for i in range(200)] == [len(f"{i % 50}") for i in range(200)] and known.size <= 1000
+    assert known("x" * 2000, "") == 2000 and known.size <= 1000 and known(["a"], "b") == 1
+
+
+def test_shapes_of_trees_are_compared_once():
+    C._shape_edits.cache_clear()
+    assert [C.tree_edits(f"x = {i}", f"y{i} = f({i})") for i in range(20)] == [C.tree_edits("a = 1", "b = g(2)")] * 20
+    assert C._shape_edits.cache_info().misses == 1
+
+
+def test_programs_are_dealt_out(spark, sf):
+    """The table's one split mustn't make one task of all programs."""
+    from waymark.queries import code_queries as Q
+
+    for made in (Q._programs, Q._worn_programs, Q.code_distances, Q.codebleu, Q.representations):
+        sizes = made(spark, sf).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(sizes) == 4, made

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import write_out
 from ..functions import code as C
+from ..operators.relational import small, spread
 from ..plans import rollout as P
 from ..plans.grading import grade_programs
 from .fixtures import KEYS, ROLLOUT, steps, table
 from .registry import query
 
 
+def _events(spark, sf_dir):
+    """Ids and values, dealt out before programs are made of them."""
+    return spread(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
+
+
 def _programs(spark, sf_dir):
     """Small programs: names vary with the event, structure with its value; some don't parse."""
     name = F.concat(F.lit("x"), (F.col("event_id") % 7).cast("string"))
@@ -18,7 +25,7 @@ def _programs(spark, sf_dir):
     text = F.concat(F.lit("def f(a):\n    return a + 1\n"), name, F.lit(" = f("), number, F.lit(")\nprint("), name, F.lit(")\n"))
     broken = F.when(F.col("event_id") % 11 == 0, F.concat(text, F.lit("if:\n"))).otherwise(text)
     other = F.concat(F.lit("y = "), number, F.lit("\nfor i in range(y):\n    print(i)\n"))
-    return table(spark, sf_dir, "events").select("event_id", (F.floor(F.col("value") / 100).cast("long")).alias("bucket"), broken.alias("a"), F.when(F.col("event_id") % 2 == 0, other).otherwise(broken).alias("b"))
+    return _events(spark, sf_dir).select("event_id", (F.floor(F.col("value") / 100).cast("long")).alias("bucket"), broken.alias("a"), F.when(F.col("event_id") % 2 == 0, other).otherwise(broken).alias("b"))
 
 
 @query("SELECT event_id, event_id % 11 <> 0 AS good FROM events")
@@ -40,19 +47,17 @@ def _worn_programs(spark, sf_dir):
     head = F.element_at(F.array(*map(F.lit, ("):", ":", ")", "):", "):", "):"))), (F.floor(e / 7) % _BROKEN + 1).cast("int"))
     tail = F.element_at(F.array(*map(F.lit, ("", "", "", "print('open\n", "if:\n", "x = 2)\n"))), (F.floor(e / 7) % _BROKEN + 1).cast("int"))
     lines = [F.concat(F.lit("def f("), name, head, note), F.concat(indent, F.lit("return"), F.lit(" "), name, blank, F.lit("+"), blank, number), F.concat(other, blank, F.lit("="), blank, F.lit("f("), number, F.lit(")")), F.concat(F.lit("print("), other, F.lit(")"), note)]
-    return table(spark, sf_dir, "events").select("event_id", F.concat(*(x for line in lines for x in (line, F.lit("\n"))), tail).alias("code"))
+    return _events(spark, sf_dir).select("event_id", F.concat(*(x for line in lines for x in (line, F.lit("\n"))), tail).alias("code"))
 
 
 @query(f"""WITH p AS (SELECT event_id, event_id // 7 % {_BROKEN} AS kind, floor(value / 100)::BIGINT AS bucket FROM events)
 SELECT event_id, min(event_id) OVER w AS class_id, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY kind, bucket)""")
 def code_hash_classes(spark, sf_dir):
-    """The class of each program, whole or broken: those alike up to names and blanks.  Each
-    distinct text is hashed once."""
-    rows = _worn_programs(spark, sf_dir)
-    hashed = rows.select("code").distinct().withColumn("h", C.udf("code_hash")("code"))
-    named = rows.join(hashed, "code").select("event_id", "h")
+    """The class of each program, whole or broken: those alike up to names and blanks.  Texts are
+    hashed where they lie; only hashes are grouped and joined."""
+    named = write_out(_worn_programs(spark, sf_dir).select("event_id", C.udf("code_hash")("code").alias("h")))
     classes = named.groupBy("h").agg(F.min("event_id").alias("class_id"), F.count("*").alias("n"))
-    return named.join(classes, "h").select("event_id", "class_id", "n")
+    return named.join(small(classes), "h").select("event_id", "class_id", "n")
 
 
 @query("SELECT event_id, true AS same FROM events")
@@ -74,7 +79,7 @@ def diff_hunks(spark, sf_dir):
     text = lambda *names: F.concat(*map(line, names))
     a = text("a0", "a1", "a2", "a3", "a4", "a5")
     b = F.when(kind == 1, text("a0", "a1", "--c2", "a3", "a4", "a5")).when(kind == 2, text("b0", "a1", "a2", "a3", "a4")).when(kind == 3, text("a0", "a1", "a2", "a3", "a4", "a5", "z")).otherwise(a)
-    rows = table(spark, sf_dir, "events").select("event_id", C.udf("unified_diff")(a, b).alias("d"))
+    rows = _events(spark, sf_dir).select("event_id", C.udf("unified_diff")(a, b).alias("d"))
     return C.with_diff_changes(rows, "d").drop("d")
 
 
@@ -90,10 +95,9 @@ def known_distances(spark, sf_dir):
     n, kind = F.floor(F.col("value") / 100).cast("long"), F.col("event_id") % 3
     loop = lambda number: F.concat(F.lit("for i in range("), number.cast("string"), F.lit("):\n    print(i)\n"))
     b = F.when(kind == 1, loop(n + 1)).when(kind == 2, F.concat(loop(n), F.lit("print(0)\n"))).otherwise(loop(n))
-    pairs = table(spark, sf_dir, "events").select("event_id", loop(n).alias("a"), b.alias("b"))
+    pairs = _events(spark, sf_dir).select("event_id", loop(n).alias("a"), b.alias("b"))
     names = ["token_edits", "token_distance", "token_edits_over_source", "tree_edits", "tree_distance", "tree_edits_over_source", "rouge_distance", "rouge2_distance", "rouge_l_distance", "rouge_lsum_distance", "token_similarity"]
-    distinct = pairs.select("a", "b").distinct().select("a", "b", *(C.udf(x)("a", "b").alias(x) for x in names))
-    return pairs.join(distinct, ["a", "b"]).drop("a", "b")
+    return pairs.select("event_id", *(C.udf(x)("a", "b").alias(x) for x in names))
 
 
 @query()
@@ -129,7 +133,7 @@ def representations(spark, sf_dir):
     before = F.concat(*(line(f"a{i} = b + ", tail) for i in range(6)))
     changed = lambda *at: F.concat(*(line(f"a{i} = c + ", tail) if i in at else line(f"a{i} = b + ", tail) for i in range(6)))
     after = F.when(kind.isin(0, 1), changed(2)).when(kind == 2, F.concat(before, line("q = ", tail))).when(kind == 3, changed(0, 5)).otherwise(F.concat(*(line(f"w({i}, 'z')") for i in range(9))))
-    rows = table(spark, sf_dir, "events").select("event_id", F.when(kind > 0, before).alias("p"), after.alias("n"), (kind == 0).alias("moved"))
+    rows = _events(spark, sf_dir).select("event_id", F.when(kind > 0, before).alias("p"), after.alias("n"), (kind == 0).alias("moved"))
     return rows.select("event_id", *(C.shown_as(F.col("p"), F.col("n"), s, F.col("moved")).alias(s) for s in ("one_block", "content_diff", "progression")))
 
 
@@ -137,7 +141,7 @@ def representations(spark, sf_dir):
 def reconstruct(spark, sf_dir):
     first = F.concat(F.lit("```python\na\nb\n```"))
     second = F.concat(F.lit("```diff\n@@ -1 +1 @@\n-a\n+"), F.floor(F.col("value") / 100).cast("long").cast("string"), F.lit("\n```"))
-    return table(spark, sf_dir, "events").select("event_id", C.udf("reconstruct")(F.array(first, second)).alias("code"))
+    return _events(spark, sf_dir).select("event_id", C.udf("reconstruct")(F.array(first, second)).alias("code"))
 
 
 @query("""SELECT s_suppkey, n_name AS best FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
