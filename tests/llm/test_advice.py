@@ -127,3 +127,15 @@ def test_each_row_gets_its_own_copies(spark):
     have = {tuple(r[k] for k in key): r["n"] for r in out.withColumn("size", F.size(F.split("text", " ")).cast("long")).groupBy(*key).agg(F.count("*").alias("n")).collect()}
     assert out.columns == docs.columns and have == want
     assert any(r["copies"] == 0 for r in mixed.collect())
+
+
+def test_every_trusted_text_is_counted(spark, monkeypatch):
+    """More than the 100,000 documents that the model of operator 3 was once fitted to."""
+    n, counted = 100_100, []
+    monkeypatch.setattr(quality_lm.kn, "count_ngrams", lambda texts, *more: counted.append(texts.count()) or real(texts.limit(10), *more))
+    docs = spark.range(n + 50).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"), F.lit("en").alias("lang"))
+    quality_lm.Classifier(docs, spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    assert counted == [n]
+
+
+real = quality_lm.kn.count_ngrams
