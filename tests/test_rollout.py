@@ -125,3 +125,12 @@ def test_lists_fill_placeholders_in_turn(spark):
     row = spark.createDataFrame([("{a} {b} {a} {a}", "1", "2", "z")], "t string, x string, y string, z string")
     made = row.select(X.fill_template(F.col("t"), {"a": [F.col("x"), F.col("y")], "b": F.col("z")}).alias("m")).first()["m"]
     assert made == "1 z 2 {a}"
+
+
+def test_a_model_is_given_few_messages_at_once(spark, monkeypatch):
+    """Before, it was given a batch of up to 10,000 prompts, however long; a skipped prompt isn't asked."""
+    monkeypatch.setattr(P, "GIVEN", 10)
+    rows = spark.range(40, numPartitions=1).select("id", F.transform(F.sequence(F.lit(0), F.col("id") % 13), lambda i: F.struct(F.lit("user").alias("role"), i.cast("string").alias("content"))).alias("messages"), (F.col("id") % 5 == 0).alias("over"))
+    answer = lambda cs: [f"{len(c)} {c[-1]['content']} {len(cs) == 1 or sum(map(len, cs)) <= 10}" for c in cs]
+    out = {r["id"]: r["answer"] for r in P.predict_rows(rows, answer, ["id"], skip="over").collect()}
+    assert out == {i: None if i % 5 == 0 else f"{i % 13 + 1} {i % 13} True" for i in range(40)}

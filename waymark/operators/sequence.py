@@ -218,13 +218,17 @@ def truncate_pairs(turns: DataFrame, keys: Keys, budget: int, tokens: Column, po
     return rows.withColumn("_waymark_start", start).where((F.col("_waymark_place") <= fixed) | (F.col("_waymark_place") >= F.col("_waymark_start"))).drop("_waymark_tok", "_waymark_place", "_waymark_n", "_waymark_suffix", "_waymark_head", "_waymark_start")
 
 
+def cleaned(content: Column) -> Column:
+    """Without thoughts, and of the rest only the content of the last fenced block (all if there is none)."""
+    bare = F.regexp_replace(content, "(?s)<think>.*?</think>", "")
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(bare, F.lit("(?s)```[a-zA-Z]*\n(.*?)```"), F.lit(1)), F.lit(-1)), bare)
+
+
 def cleaned_prompt(turns: DataFrame, keys: Keys, pos: str, role: str, content: str) -> DataFrame:
     """Assistant turns before the last turn lose thoughts and keep only the content of their
     last fenced block (the rest unchanged if there is none)."""
     last = F.max(pos).over(Window.partitionBy(*keys))
-    bare = F.regexp_replace(F.col(content), "(?s)<think>.*?</think>", "")
-    block = F.try_element_at(F.regexp_extract_all(bare, F.lit("(?s)```[a-zA-Z]*\n(.*?)```"), F.lit(1)), F.lit(-1))
-    clean = F.when((F.col(role) == "assistant") & (F.col(pos) < F.col("_waymark_last")), F.coalesce(block, bare)).otherwise(F.col(content))
+    clean = F.when((F.col(role) == "assistant") & (F.col(pos) < F.col("_waymark_last")), cleaned(F.col(content))).otherwise(F.col(content))
     return turns.withColumn("_waymark_last", last).withColumn(content, clean).drop("_waymark_last")
 
 
